@@ -21,7 +21,36 @@ def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.simhash import digest, near_duplicates
+
+    return digest(near_duplicates(_table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.secrets import BlobLedger, digest
+
+    return digest(BlobLedger(spark).scan(_table(spark, sf_dir, "documents"), ["doc_id"], "text"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.quality_rules import judge
+
+    out = judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op7_token_output": op7_token_output,
+    "op10_simhash": op10_simhash,
+    "op1_secrets": op1_secrets,
+    "op4_quality_rules": op4_quality_rules,
+    "op9_mixing": op9_mixing,
 }
 ORACLE: dict[str, str] = {}
