@@ -46,9 +46,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.toxicity import score
+
+    return score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.decontaminate import find_contamination
+
+    return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op7_token_output": op7_token_output,
     "op10_simhash": op10_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op1_secrets": op1_secrets,
     "op4_quality_rules": op4_quality_rules,
     "op9_mixing": op9_mixing,
