@@ -136,3 +136,14 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         level += 1
     done = done.withColumn("copies", F.col("copies") + F.col("p").cast("long"))
     return done.join(targets, "skey").select("doc_id", "h", "skey", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def take_copies(docs: DataFrame, mixed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, each as many times as ``mixed`` takes it. Rows of equal id
+    and text share their copies out evenly."""
+    taken = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).filter("_copies > 0")
+    own = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    rows = docs.withColumn("_own", own).join(taken, F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_h")))
+    at = F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.xxhash64(*docs.columns)))
+    n = F.floor(F.col("_copies") / F.col("_rows")).cast("int") + (at <= F.col("_copies") % F.col("_rows")).cast("int")
+    return rows.withColumn("_n", n).filter("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)

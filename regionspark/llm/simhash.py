@@ -31,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionspark.llm._shared import settle, shuffle_parts
@@ -244,15 +244,34 @@ def fingerprint_links(fp: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp (signed 64-bit), component_id (smallest doc_id of the class) of every row."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fp = settle(named.mapInArrow(_fingerprint_batches("text", shingle), "doc_id long, fp long"), "fingerprints")
+    """doc_id, h (hash of the text), fp (signed 64-bit), root (of the class), component_id (smallest
+    doc_id of the class) of every row. Classes are told apart by root: where rows share a doc_id, two
+    classes may have the same smallest one."""
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
+    fp = settle(named.mapInArrow(_fingerprint_batches("text", shingle), "doc_id long, h long, fp long"), "fingerprints")
     per = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(fingerprint_links(per, max_bits))
     joined = per.join(roots, per.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     whole = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(whole, "root").select("fp", "component_id")
-    return fp.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = joined.join(whole, "root").select("fp", "root", "component_id")
+    return fp.join(of, "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def text_hash(text: Column) -> Column:
+    """64-bit hash that tells the texts of rows with one doc_id apart; null as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each class, all columns: that of the smallest id (null last), then text hash."""
+    near = near_duplicates(docs, key, text, **how)
+    least = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("x"))
+    keep = least.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.h").alias("_kept_h")).distinct()
+    rows = docs.withColumn("_own_h", text_hash(F.col(text)))
+    rows = rows.join(keep, F.col(key).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")))
+    # equal id and text, perhaps other columns: the smallest hash of the row stays
+    rank = F.row_number().over(Window.partitionBy("_kept_id", "_kept_h").orderBy(F.xxhash64(*docs.columns)))
+    return rows.withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
 
 
 def digest(near: DataFrame) -> DataFrame:

@@ -109,3 +109,21 @@ def test_rows_that_share_an_id(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t"), (None, "a b c d e")], "doc_id long, text string")
     got = m.near_duplicates(df).collect()
     assert len(got) == 4 and {r.component_id for r in got} == {1}
+
+
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(11)
+    t = texts(rng, 40)
+    rows = [(i % 50, x, f"s{i}") for i, x in enumerate(t + t[:20])] + [(3, t[3], "s3"), (None, t[5], "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string").repartition(3)
+    kept = m.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    cls = brute_classes([brute_fp(r[1]) for r in rows], list(range(len(rows))))
+    of = {(r[0], r[1]): c for r, c in zip(rows, cls, strict=True)}
+    assert sorted(of[r.doc_id, r.text] for r in got) == sorted(set(cls))
+    least = {}
+    for r, c in zip(rows, cls, strict=True):
+        if r[0] is not None:
+            least[c] = min(least.get(c, r[0]), r[0])
+    assert all(r.doc_id == least[of[r.doc_id, r.text]] for r in got)
