@@ -58,9 +58,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.kneser_ney import score
+
+    return score(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op7_token_output": op7_token_output,
     "op10_simhash": op10_simhash,
+    "op3_kneser_ney": op3_kneser_ney,
     "op5_toxicity": op5_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op1_secrets": op1_secrets,

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, open_array, read_bytes, shuffle_parts, write_bytes
+from regionspark.llm._shared import new_dir, open_array, read_bytes, settle, shuffle_parts, write_bytes
 from regionspark.llm._words import slices, text_bytes, word_bounds, word_hashes
 
 END_ID = 1
@@ -180,6 +180,19 @@ def _encode_table(folder: str, tokenizer_path: str):
     return run
 
 
+def _id_counts(batches):
+    """Sums of the counts of each id, per task."""
+    total = np.zeros(0, np.int64)
+    for b in batches:
+        for ids, n in zip(b["ids"].to_pylist(), b["counts"].to_pylist(), strict=True):
+            ids, n = np.frombuffer(ids, "<u4"), np.frombuffer(n, "<i8")
+            if len(ids) and ids.max() >= len(total):
+                total = np.concatenate([total, np.zeros(int(ids.max()) + 1 - len(total), np.int64)])
+            total[ids] += n
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
+
+
 class _Table:
     """Maps word hashes to coded ids; arrays are memory-mapped, looked up in order of the hash."""
 
@@ -325,14 +338,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         .repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
         .mapInArrow(_encode_table(folder, tokenizer_path), "bucket int, n_words long, ids binary, counts binary")
     )
-    counts = np.zeros(0, np.int64)
-    buckets = []
-    for row in made.toLocalIterator():  # a row for each bucket, of the size of the tokenizer's vocabulary at most
-        ids, c = np.frombuffer(row.ids, "<u4"), np.frombuffer(row.counts, "<i8")
-        if len(ids) and ids.max() >= len(counts):
-            counts = np.concatenate([counts, np.zeros(int(ids.max()) + 1 - len(counts), np.int64)])
-        counts[ids] += c
-        buckets.append(row.bucket)
+    made = settle(made, "token-words")
+    buckets = [r.bucket for r in made.select("bucket").collect()]
+    total = made.mapInArrow(_id_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # of the size of the vocabulary at most
+    ids, n = total["id"].to_numpy(), total["n"].to_numpy()
+    counts = np.zeros(int(ids.max(initial=0)) + 1, np.int64)
+    counts[ids] = n
     buckets.sort()
     if len(counts) <= end_id:
         counts = np.concatenate([counts, np.zeros(end_id + 1 - len(counts), np.int64)])
