@@ -64,9 +64,27 @@ def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from regionspark.llm.token_rollups import TokenRollups
+
+    rollups = TokenRollups(spark)
+    docs = _table(spark, sf_dir, "documents")
+    rollups.commit("load", docs)
+    rollups.commit("load", docs)  # delivered again: nothing changes
+    return rollups.totals()
+
+
 QUERIES = {
     "op7_token_output": op7_token_output,
     "op10_simhash": op10_simhash,
+    "op2_token_rollups": op2_token_rollups,
+    "op6_html_text": op6_html_text,
     "op3_kneser_ney": op3_kneser_ney,
     "op5_toxicity": op5_toxicity,
     "op8_decontaminate": op8_decontaminate,
@@ -74,4 +92,13 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op9_mixing": op9_mixing,
 }
-ORACLE: dict[str, str] = {}
+_PIECES = r"[A-Za-z]+|[0-9]|[^\x00-\x7F]+|[!-/:-@\[-`{-~]"
+ORACLE: dict[str, str] = {
+    "op2_token_rollups": rf"""
+        SELECT source, lang, v.tokenizer_version, count(*) AS n_docs, CAST(sum(v.n_tokens) AS BIGINT) AS n_tokens
+        FROM (
+            SELECT source, lang, 'words-1' AS tokenizer_version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents
+            UNION ALL SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{_PIECES}')), 0) FROM documents
+            UNION ALL SELECT source, lang, 'bytes-1', coalesce(strlen(text), 0) FROM documents
+        ) AS v GROUP BY source, lang, v.tokenizer_version""",
+}
