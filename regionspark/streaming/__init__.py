@@ -1 +1 @@
-
+"""Running counts over arriving fragments."""
