@@ -63,7 +63,7 @@ def background_peaks(pairs: DataFrame, features: DataFrame, n: int = 200, bins:
     features: feature_id, chrom, gc_percent, count, sequence_length."""
     cut = features
     for c in ("gc_percent", "count", "sequence_length"):
-        q = cut.select(F.percentile_approx(c, [i / bins for i in range(1, bins)])).first()[0] or []
+        q = (cut.select(F.percentile_approx(c, [i / bins for i in range(1, bins)])).first()[0] or []) if bins > 1 else []
         cut = cut.withColumn(f"_{c}", sum((F.when(F.col(c) > v, 1).otherwise(0) for v in q), F.lit(0)))
     key = ["_gc_percent", "_count", "_sequence_length"]
     order = [F.xxhash64("feature_id", F.lit(seed)), F.col("feature_id")]
@@ -76,7 +76,7 @@ def background_peaks(pairs: DataFrame, features: DataFrame, n: int = 200, bins:
     return got.withColumn("_i", F.row_number().over(Window.partitionBy("feature_id").orderBy("_m"))).filter(F.col("_i") <= n).select("feature_id", "background_id")
 
 
-def link_peaks(peaks: DataFrame, genes: DataFrame, features: DataFrame, gene_ranges: DataFrame, n_cells: int, distance: int = 500_000, min_distance: int | None = None, min_cells: int = 10, method: str = "pearson", n_sample: int = 200, pvalue_cutoff: float = 0.05, score_cutoff: float = 0.05, seed: int = 1234) -> DataFrame:
+def link_peaks(peaks: DataFrame, genes: DataFrame, features: DataFrame, gene_ranges: DataFrame, n_cells: int, distance: int = 500_000, min_distance: int | None = None, min_cells: int = 10, method: str = "pearson", n_sample: int = 200, pvalue_cutoff: float = 0.05, score_cutoff: float = 0.05, seed: int = 1234, bins: int = 10) -> DataFrame:
     """Peaks linked to genes: correlated beyond what matched peaks of other chromosomes are. Columns
     chrom, start, end, score, gene, peak, zscore, pvalue; a link runs from start site to peak midpoint.
     Genes with fewer than two peaks in range are left out; the test is one-sided on -|z|."""
@@ -86,7 +86,7 @@ def link_peaks(peaks: DataFrame, genes: DataFrame, features: DataFrame, gene_ran
     pairs = distance_pairs(features, gene_ranges.join(genes.select("gene").distinct(), "gene", "left_semi"), distance, min_distance)
     pairs = pairs.join(pairs.groupBy("gene").agg(F.count(F.lit(1)).alias("_n")).filter("_n >= 2").select("gene"), "gene", "left_semi")
     scored = pair_correlation(pairs, peaks, genes, n_cells, method).filter(F.abs("score") > score_cutoff)
-    back = scored.select("feature_id", "gene").join(background_peaks(scored, features, n_sample, seed=seed), "feature_id")
+    back = scored.select("feature_id", "gene").join(background_peaks(scored, features, n_sample, bins, seed), "feature_id")
     b = pair_correlation(back.select(F.col("background_id").alias("feature_id"), "gene").distinct(), peaks, genes, n_cells, method).withColumnsRenamed({"feature_id": "background_id", "score": "_b"})
     null = back.join(b, ["background_id", "gene"]).groupBy("feature_id", "gene").agg(F.avg("_b").alias("_mean"), F.stddev_samp("_b").alias("_sd"))
     z = ratio(F.col("score") - F.col("_mean"), F.col("_sd"))

@@ -9,6 +9,8 @@ nearest) run by blocks of positions, see ``running``.
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -244,27 +246,33 @@ def is_disjoint(df: DataFrame, ignore_strand: bool = True) -> DataFrame:
 
 
 def disjoint_bins(df: DataFrame, id_: str = "id") -> DataFrame:
-    """Lane of each range, first fit in order of start. All lanes are free between islands, so each
-    island is laid out on its own."""
+    """Lane of each range, first fit in order of start. All lanes are free between islands, so islands
+    are dealt over the tasks; a task reads its islands in order and holds only the lanes in use."""
     from pyspark.sql.types import LongType, StructField, StructType
 
     names = df.columns
 
-    def lanes(pdf):
-        pdf = pdf.sort_values(["start", "end", id_], kind="stable", ignore_index=True)
-        reach, out = [], []
-        for s, e in zip(pdf["start"], pdf["end"], strict=True):
-            lane = next((i for i, r in enumerate(reach) if r < s), len(reach))
-            if lane == len(reach):
-                reach.append(e)
-            else:
-                reach[lane] = e
-            out.append(lane + 1)
-        pdf["bin"] = out
-        return pdf[[*names, "bin"]]
-
-    islands = _islands(df, ["chrom"], 0)
-    return islands.groupBy("chrom", "_island").applyInPandas(lanes, StructType([*df.schema, StructField("bin", LongType())]))
+    def lanes(batches):
+        island, busy, free, n = None, [], [], 0
+        for pdf in batches:
+            out = []
+            for key, s, e in zip(zip(pdf["chrom"], pdf["_island"], strict=True), pdf["start"], pdf["end"], strict=True):
+                if key != island:
+                    island, busy, free, n = key, [], [], 0
+                while busy and busy[0][0] < s:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    lane = heapq.heappop(free)
+                else:
+                    n += 1
+                    lane = n
+                heapq.heappush(busy, (e, lane))
+                out.append(lane)
+            pdf["bin"] = out
+            yield pdf[[*names, "bin"]]
+
+    islands = _islands(df, ["chrom"], 0).repartition("chrom", "_island").sortWithinPartitions("chrom", "_island", "start", "end", id_)
+    return islands.mapInPandas(lanes, StructType([*df.schema, StructField("bin", LongType())]))
 
 
 def extend(df: DataFrame, upstream: int = 0, downstream: int = 0, from_midpoint: bool = False, seqinfo: DataFrame | None = None) -> DataFrame:

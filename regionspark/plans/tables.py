@@ -100,16 +100,17 @@ GENE = """tx AS (SELECT 'c' || (o_custkey % 7) AS chrom, date_diff('day', DATE '
     gene AS (SELECT gene_id, min(chrom) AS chrom, min(a) AS a, max(b) AS b, min(strand) AS strand, min(biotype) AS biotype FROM tx GROUP BY gene_id)"""
 
 
-def mito(spark: SparkSession, d: str) -> DataFrame:
-    """lineitem as strand counts: parts as positions, flags as bases, statuses as strands."""
+def mito(spark: SparkSession, d: str, positions: int = 1 << 40) -> DataFrame:
+    """lineitem as strand counts: parts (modulo ``positions``) as positions, flags as bases, statuses as strands."""
     n = lambda s: F.sum(F.when(F.col("l_linestatus") == s, 1).otherwise(0))
     base = F.when(F.col("l_returnflag") == "A", "A").when(F.col("l_returnflag") == "N", "C").otherwise("T")
-    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("pos"), base.alias("base"), F.col("l_suppkey").alias("cell_id")).agg(n("F").alias("fwd"), n("O").alias("rev"))
+    return table(spark, d, "lineitem").groupBy((F.col("l_partkey") % positions).alias("pos"), base.alias("base"), F.col("l_suppkey").alias("cell_id")).agg(n("F").alias("fwd"), n("O").alias("rev"))
 
 
 MITO = """mt AS (SELECT l_partkey AS pos, CASE l_returnflag WHEN 'A' THEN 'A' WHEN 'N' THEN 'C' ELSE 'T' END AS base, l_suppkey AS c, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS fw, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS rv
     FROM lineitem GROUP BY 1, 2, 3), cov AS (SELECT pos, c, sum(fw + rv) AS n FROM mt GROUP BY 1, 2)"""
 
 
-def reference(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "part").select(F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 2 == 0, "A").otherwise("G").alias("ref"))
+def reference(spark: SparkSession, d: str, positions: int = 1 << 40) -> DataFrame:
+    pos = table(spark, d, "part").select((F.col("p_partkey") % positions).alias("pos")).distinct()
+    return pos.select("pos", F.when(F.col("pos") % 2 == 0, "A").otherwise("G").alias("ref"))
