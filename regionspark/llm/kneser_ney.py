@@ -8,8 +8,8 @@ token). Jobs:
    stored sorted; a word's place in that order is its id.
 2. *pairs*: distinct (word before, word) ids and counts, dealt by hash - so that a frequent word's
    pairs spread over all tasks - merged, and stored sorted by their 64-bit key.
-3. *sums*: per id, how many pairs it starts, by count (1, 2, 3 and more), and how many it ends; stored
-   as arrays by id.
+3. *sums*: in the same job, per id, how many pairs it starts, by count (1, 2, 3 and more), and how many
+   it ends; stored as arrays by id.
 4. Discounts come from counts of counts (a few numbers per task reach the driver), and texts are scored
    by looking their pairs up in the mapped arrays, in sorted order.
 
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, open_array, settle, shuffle_parts, write_bytes
+from regionspark.llm._shared import new_dir, open_array, shuffle_parts, write_bytes
 from regionspark.llm._words import LOWER, U64, mix, slices, text_bytes, word_bounds, word_hashes
 
 #: Hashes of the end token and of the start mark. No word has them but by chance of 2 in 2^64.
@@ -196,8 +196,8 @@ def _count_pairs(folder: str, words: list, n_words: int, n: int):
 
 
 def _store_pairs(folder: str, n: int, ids: int):
-    """Store a bucket of pairs; deal out what it adds to each id's sums. Kinds: 0, a row for the
-    driver; 1-3, pairs begun with count 1, 2, 3 and more; 4, pairs ended; 5, all tokens after."""
+    """Store a bucket of pairs; deal out what it adds to each id's sums. Kinds: 0, figures that pass on
+    to the driver; 1-3, pairs begun with count 1, 2, 3 and more; 4, pairs ended; 5, all tokens after."""
     per = -(-ids // n) or 1
 
     def run(batches):
@@ -207,7 +207,7 @@ def _store_pairs(folder: str, n: int, ids: int):
             write_bytes(f"{folder}/pairs-{bucket:05d}.key", keys.astype("<u8").tobytes())
             write_bytes(f"{folder}/pairs-{bucket:05d}.n", counts.astype("<u4").tobytes())
             before, after = keys >> U64(32), keys & U64(0xFFFFFFFF)
-            rows = [(-1, bucket, b"", np.array(_done(bucket, counts)[1:], "<i8").tobytes())]
+            rows = [(bucket % n, 0, b"", np.array(_done(bucket, counts), "<i8").tobytes())]
             for kind, ok in ((1, counts == 1), (2, counts == 2), (3, counts > 2), (4, None), (5, None)):
                 if kind == 4:
                     u, c = np.unique(after, return_counts=True)
@@ -227,6 +227,10 @@ def _store_sums(folder: str, n: int, ids: int):
 
     def run(batches):
         for bucket, parts in _by_bucket(batches):
+            figures = [np.frombuffer(p[1], "<i8").tolist() for p in parts.pop(0, [])]
+            yield _batch(_DONE, [(-1 - b, *rest) for b, *rest in figures]) if figures else pa.RecordBatch.from_pylist([], pa.schema(_DONE))
+            if not parts:
+                continue
             size = min(per, ids - bucket * per)
             sums = np.zeros((6, size), np.int64)
             for kind, got in parts.items():
@@ -342,9 +346,10 @@ def train(texts: DataFrame, text: str = "text", folder: str | None = None) -> di
     ids = vocabulary + 1  # and the start mark
     m = max(n, tokens // 4_000_000)
     dealt = texts.mapInArrow(_count_pairs(folder, words, n, m), _BLOB_SQL)
-    parts = settle(deal(dealt, m).mapInArrow(_store_pairs(folder, n, ids), _BLOB_SQL), "pair-sums")
-    stats = {r.kind: np.frombuffer(r.counts, "<i8") for r in parts.filter("bucket = -1").collect()}
-    sums = deal(parts.filter("bucket >= 0"), n).mapInArrow(_store_sums(folder, n, ids), _DONE_SQL).collect()
+    parts = deal(dealt, m).mapInArrow(_store_pairs(folder, n, ids), _BLOB_SQL)
+    done = deal(parts, n).mapInArrow(_store_sums(folder, n, ids), _DONE_SQL).collect()
+    stats = {-1 - r.bucket: np.array(r[1:]) for r in done if r.bucket < 0}
+    sums = [r for r in done if r.bucket >= 0]
     pair = np.sum(list(stats.values()), 0) if stats else np.zeros(6, int)
     word = [sum(r[f"n{i}"] for r in sums) for i in (1, 2, 3, 4)]
     types = int(pair[0])
