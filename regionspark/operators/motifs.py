@@ -46,7 +46,8 @@ def _matrices(pwm: DataFrame) -> dict[str, np.ndarray]:
 
 
 def _threshold(m: np.ndarray, p: float) -> float:
-    """Least score that a random uniform sequence reaches with probability p at most, on a fine grid."""
+    """Least attained score that a random uniform sequence reaches with probability p at most, on a fine
+    grid; less what rounding to the grid may have added."""
     step = 0.01
     low = np.floor(m[:, :4].min(1) / step).astype(int)
     dist = np.ones(1)
@@ -57,8 +58,8 @@ def _threshold(m: np.ndarray, p: float) -> float:
             new[i : i + len(dist)] += dist / 4
         dist = new
     tail = np.cumsum(dist[::-1])[::-1]
-    at = int(np.argmax(tail <= p)) if (tail <= p).any() else len(dist)
-    return (at + low.sum()) * step
+    at = next(iter(np.flatnonzero((tail <= p) & (dist > 0))), len(dist))
+    return (at + low.sum() - len(m) / 2) * step
 
 
 def scan(sequences: DataFrame, pwm: DataFrame, p_cutoff: float = 5e-5) -> DataFrame:
