@@ -227,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn the list from labelled rows (label 0: rejected)."""
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("least")).filter("label = least")
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, "doc_id")
+    known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # rows of 12 bytes, max_labelled at most
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, "doc_id", "left_semi")
     stats = with_stats(named).join(known, "doc_id").filter(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = stats.select("label", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), *(ratio(k).alias(k) for k in RATIOS)).toArrow()
     if not rows.num_rows:
