@@ -29,16 +29,26 @@ def suggest_bin(df: DataFrame) -> int:
     return 1 << max(6, int(w - 1).bit_length())
 
 
-def _binned(df: DataFrame, prefix: str, start: Column, end: Column, bin_size: int) -> DataFrame:
+def _binned(df: DataFrame, prefix: str, start: Column, end: Column, bin_size: int, subject: bool) -> DataFrame:
+    """One row for each bin of a range, at its own level and lifted to each coarser one. ``meet`` is the
+    level with a bit that says which rows may meet: a query at its own level meets subjects at theirs and
+    lifted ones (bit 0), a lifted query meets only subjects at their own level (bit 1). Two lifted rows
+    never meet, so coarse bins hold no pairs of short ranges."""
     b = lambda x, level: F.floor(x / F.lit(bin_size << (_FAN * level)))
     own = F.lit(_LEVELS - 1)
     for level in reversed(range(_LEVELS - 1)):
         own = F.when(b(end, level) - b(start, level) < 64, F.lit(level)).otherwise(own)
-    out = df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns), start.alias(f"{prefix}_lo"), end.alias(f"{prefix}_hi"), own.alias(f"{prefix}_own"))
-    lo, hi = F.col(f"{prefix}_lo"), F.col(f"{prefix}_hi")
-    levels = F.array(*(F.when(F.lit(level) >= F.col(f"{prefix}_own"), F.struct(F.lit(level).alias("level"), b(lo, level).alias("first"), F.sequence(b(lo, level), b(hi, level)).alias("bins"))) for level in range(_LEVELS)))
-    out = out.withColumn("_l", F.explode(F.filter(levels, lambda x: x.isNotNull())))
-    return out.select("*", F.col("_l.level").alias(f"{prefix}_level"), F.col("_l.first").alias(f"{prefix}_first"), F.explode("_l.bins").alias(f"{prefix}_bin")).drop("_l")
+    out = df.select(*(F.col(c).alias(f"{prefix}{c}") for c in df.columns), start.alias(f"{prefix}_lo"), end.alias(f"{prefix}_hi"), own.alias("_own"))
+    lo, hi, own = F.col(f"{prefix}_lo"), F.col(f"{prefix}_hi"), F.col("_own")
+    row = lambda test, meet, level: F.when(test, F.struct(meet.alias("meet"), b(lo, level).alias("first"), F.sequence(b(lo, level), b(hi, level)).alias("bins")))
+    rows = []
+    for level in range(_LEVELS):
+        if subject:
+            rows += [row(own <= level, F.lit(2 * level), level), row(own == level, F.lit(2 * level + 1), level)]
+        else:
+            rows.append(row(own <= level, 2 * level + (own < level).cast("int"), level))
+    out = out.withColumn("_l", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    return out.select("*", F.col("_l.meet").alias(f"{prefix}_meet"), F.col("_l.first").alias(f"{prefix}_first"), F.explode("_l.bins").alias(f"{prefix}_bin")).drop("_l", "_own")
 
 
 def _overlap_test(kind: str, maxgap: int, minoverlap: int) -> Column:
@@ -66,10 +76,10 @@ def find_overlaps(query: DataFrame, subject: DataFrame, maxgap: int = -1, minove
     if kind not in KINDS:
         raise ValueError(f"kind is one of {KINDS}")
     near = max(maxgap, 0) if kind != "any" else maxgap + 1
-    q = _binned(query, "q_", F.col("start") - near, F.col("end") + near, bin_size)
-    s = _binned(subject, "s_", F.col("start"), F.col("end"), bin_size)
-    on = (F.col("q_chrom") == F.col("s_chrom")) & (F.col("q__level") == F.col("s__level")) & (F.col("q__bin") == F.col("s__bin"))
-    once = (F.col("q__level") == F.greatest("q__own", "s__own")) & (F.col("q__bin") == F.greatest("q__first", "s__first"))
+    q = _binned(query, "q_", F.col("start") - near, F.col("end") + near, bin_size, False)
+    s = _binned(subject, "s_", F.col("start"), F.col("end"), bin_size, True)
+    on = (F.col("q_chrom") == F.col("s_chrom")) & (F.col("q__meet") == F.col("s__meet")) & (F.col("q__bin") == F.col("s__bin"))
+    once = F.col("q__bin") == F.greatest("q__first", "s__first")
     test = once & _overlap_test(kind, maxgap, minoverlap)
     if not ignore_strand and "strand" in query.columns and "strand" in subject.columns:
         test = test & ((F.col("q_strand") == F.col("s_strand")) | (F.col("q_strand") == "*") | (F.col("s_strand") == "*"))

@@ -18,15 +18,16 @@ _AGG = {"max": F.max, "min": F.min, "sum": F.sum}
 
 def running(df: DataFrame, by: Sequence[str], position: str, order: Sequence[Column], value: Column, how: str, out: str, exclusive: bool = True, backwards: bool = False, block: int = BLOCK) -> DataFrame:
     """Add ``out``: the max, min or sum of ``value`` over the rows before (and, unless exclusive, at)
-    each row in ``order``, whose first term is ``position``; backwards: over the rows after."""
+    each row in ``order``, whose first term is ``position``; backwards: over the rows after (``order`` has
+    plain columns then)."""
     agg = _AGG[how]
     blocked = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)))
-    near = Window.partitionBy(*by, "_block").orderBy(*order)
-    near = near.rowsBetween(1 if exclusive else 0, Window.unboundedFollowing) if backwards else near.rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    # backwards means the order turned round: a frame that reaches to the end is computed anew for each row
+    turn = (lambda c: c.desc()) if backwards else (lambda c: c)
+    near = Window.partitionBy(*by, "_block").orderBy(*map(turn, order)).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     rows = blocked.withColumn("_near", agg(value).over(near))
     carry = blocked.groupBy(*by, "_block").agg(agg(value).alias("_total"))
-    far = Window.partitionBy(*by).orderBy("_block")
-    far = far.rowsBetween(1, Window.unboundedFollowing) if backwards else far.rowsBetween(Window.unboundedPreceding, -1)
+    far = Window.partitionBy(*by).orderBy(turn(F.col("_block"))).rowsBetween(Window.unboundedPreceding, -1)
     carry = carry.select(*(F.col(k).alias(f"_k_{k}") for k in by), F.col("_block").alias("_b"), agg("_total").over(far).alias("_far"))
     on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by] + [F.col("_block") == F.col("_b")]
     joined = rows.join(carry, on, "left")
