@@ -267,6 +267,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     near = near_duplicates(docs, key, text, **how)
     least = near.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("x"))
     keep = least.select(F.col("x.doc_id").alias("_kept_id"), F.col("x.h").alias("_kept_h")).distinct()
+    return keep_rows(docs, keep, key, text)
+
+
+def keep_rows(docs: DataFrame, keep: DataFrame, key: str, text: str) -> DataFrame:
+    """One row, all columns, for each (_kept_id, _kept_h) of ``keep``."""
     rows = docs.withColumn("_own_h", text_hash(F.col(text)))
     rows = rows.join(keep, F.col(key).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")))
     # equal id and text, perhaps other columns: the smallest hash of the row stays
