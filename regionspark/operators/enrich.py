@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -62,11 +64,32 @@ def combine_peaks(peaks: DataFrame) -> DataFrame:
     return joined.groupBy("chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_join(F.sort_array(F.collect_set("ident")), ",").alias("peak_called_in")).drop("_island")
 
 
+def poisson_tail(k: int, rate: float) -> float:
+    """P(X >= k) of a Poisson count. Terms fall from the summed side's first one on, so the sum runs until
+    they no longer add to it: upwards from k above the rate, else one less the sum downwards from k - 1."""
+    if k <= 0:
+        return 1.0
+    if rate <= 0:
+        return 0.0
+    up = k > rate
+    i = k if up else k - 1
+    scale = i * math.log(rate) - rate - math.lgamma(i + 1)
+    term = total = 1.0
+    while term > total * 1e-17:
+        if up:
+            i += 1
+            term *= rate / i
+        else:
+            term *= i / rate
+            i -= 1
+        total += term
+    part = min(math.exp(min(scale + math.log(total), 0.0)), 1.0)
+    return part if up else 1.0 - part
+
+
 def call_peaks_poisson(fragments: DataFrame, genome_size: float, width: int = 200, shift: int = 100, q: float = 0.05, min_count: int = 3) -> DataFrame:
     """A native caller, not equal to the external one: cut sites widened to ``width``, tiles of half a
     width above the genome-wide Poisson rate at adjusted p < q, neighbours merged."""
-    import math
-
     half = width // 2
     cuts = fragments.select("chrom", F.explode(F.array("start", "end")).alias("pos"))
     tiles = cuts.groupBy("chrom", F.floor(F.col("pos") / half).alias("tile")).agg(F.count(F.lit(1)).alias("n"))
@@ -75,12 +98,8 @@ def call_peaks_poisson(fragments: DataFrame, genome_size: float, width: int = 20
 
     @F.pandas_udf("double")
     def tail(n: pd.Series) -> pd.Series:
-        out = []
-        for k in n:
-            i = np.arange(int(k), int(k) + 200)
-            logs = i * math.log(rate) - rate - np.array([math.lgamma(a + 1) for a in i])
-            out.append(float(np.exp(logs).sum()))
-        return pd.Series(out)
+        known = {k: poisson_tail(int(k), rate) for k in n.unique()}
+        return n.map(known).astype("float64")
 
     hot = tiles.filter(F.col("n") >= min_count).withColumn("pvalue", tail(F.col("n").cast("double")))
     hot = stats.adjust(hot, method="bonferroni").filter(F.col("p_adjust") < q)
