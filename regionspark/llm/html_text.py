@@ -4,8 +4,8 @@ Pages of one host come from a template. Tokens of a page are its start tags, tol
 (name, class, id and the roles above them), and its short text blocks outside an article. Tokens that
 occur equally often on every page of the host share an occurrence vector and form an equivalence
 class; the vector is kept as an XOR of (page, count) hashes, so that classes are found by an aggregate
-and no host's pages ever meet in one task. The class of what occurs once on every page is the
-template's frame; classes of repeated tokens nest in the slots between its members. The slot that
+and no host's pages ever meet in one task. The classes of what occurs once on a page, on nearly all
+pages that have tokens, are the template's frame; classes of repeated tokens nest in the slots between its members. The slot that
 holds the pages' own words - the deepest frame element with nearly all of them - is the main one, and
 extraction takes it from each page. Short blocks outside articles that belong to the frame are
 template text, left out of pages that lack the main slot. Hosts of fewer than ``MIN_PAGES`` pages use the template deduced over all hosts.
@@ -79,11 +79,11 @@ class _Element:
 class Page:
     """One pass over a page: its elements' roles and its blocks, with where they stand."""
 
-    def __init__(self, source: str, main_role: int | None = None):
+    def __init__(self, source: str, main_roles: frozenset[int] = frozenset()):
         self.blocks: list[tuple[str, bool, bool, int]] = []  # text, inside article, inside main slot, role of its element
         self.elements: list[_Element] = []
         self.has_main = False
-        self._main_role = main_role
+        self.words = 0
         self._text: list[str] = []
         root = _Element("", 0, 0, False, False, False)
         stack = [root]
@@ -146,11 +146,12 @@ class Page:
             role = _hash(name, re.sub(r"\d+", "0", label), parent.role)
             article = parent.article or name in ("article", "main") or a.get("role") == "main"
             out = parent.out or self._left_out(name, label, a, parent.article)
-            e = _Element(name, role, parent.depth + 1, out, article, parent.main or (main_role is not None and role == main_role and not out))
+            e = _Element(name, role, parent.depth + 1, out, article, parent.main or (role in main_roles and not out))
             self.has_main |= e.main
             self.elements.append(e)
             stack.append(e)
         self._break(stack)
+        self.words = root.words
 
     @staticmethod
     def _left_out(name: str, label: str, a: dict[str, str], in_article: bool) -> bool:
@@ -184,10 +185,12 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), url, F.lit("")).alias("host")
 
 
-_STAT = {"host": pa.string(), "token": pa.int64(), "kind": pa.int32(), "depth": pa.int32(), "sig": pa.int64(), "df": pa.int64(), "n": pa.int64(), "words": pa.int64(), "place": pa.int64()}
-_STAT_SQL = "host string, token long, kind int, depth int, sig long, df long, n long, words long, place long"
+_STAT = {"host": pa.string(), "token": pa.int64(), "kind": pa.int32(), "depth": pa.int32(), "sig": pa.int64(), "df": pa.int64(), "n": pa.int64(), "words": pa.int64(), "place": pa.int64(), "of": pa.int64()}
+_STAT_SQL = "host string, token long, kind int, depth int, sig long, df long, n long, words long, place long, of long"
 PAGE, TAG, ARTICLE, TEXT = range(4)
 EVERY = "*"
+#: The frame stands once on at least this share of the pages that have tokens; a variant layout on that.
+SUPPORT, VARIANT = 0.9, 0.1
 
 
 def _signed(x: int) -> int:
@@ -204,7 +207,6 @@ def _occurrences(batches):
             page = Page(source)
             key = _hash(source[:0], len(source), source)
             seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-            seen[0, PAGE, 0][0] = 1
             for place, e in enumerate(page.elements):
                 if not e.out:
                     x = seen[e.role, ARTICLE if e.name in ("article", "main") else TAG, e.depth]
@@ -214,15 +216,18 @@ def _occurrences(batches):
             for text, article, _, role in page.blocks:
                 if not article and text.count(" ") < 20:
                     seen[_hash(role, text), TEXT, 0][0] += 1
+            if seen:  # pages without tokens (null, empty) are no support
+                seen[0, PAGE, 0][0] = 1
             for (token, kind, depth), (n, words, place) in seen.items():
                 sig = _hash(key, n)
                 for h in (host, EVERY) if kind != TEXT else (host,):
-                    x = total.setdefault((h, token, kind, depth), [0, 0, 0, 0, 0])
+                    x = total.setdefault((h, token, kind, depth), [0, 0, 0, 0, 0, 0])
                     x[0] ^= sig
                     x[1] += 1
                     x[2] += n
                     x[3] += words
                     x[4] += place
+                    x[5] += page.words
         if total:
             rows = [(h, _signed(t), k, d, _signed(x[0]), *x[1:]) for (h, t, k, d), x in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STAT.values(), strict=True)], list(_STAT))
@@ -234,9 +239,10 @@ def deduce(tokens: pd.DataFrame) -> dict:
     classes = []
     for sig, own in tokens[tokens.kind != PAGE].groupby("sig"):
         own = own.assign(at=own.place / own.n).sort_values(["at", "token"])
-        classes.append((sig == page.sig, own))
+        once = (own.n == own.df).all() and own.df.iloc[0] >= SUPPORT * page.df
+        classes.append((once, own))
     frame = [own for is_frame, own in classes if is_frame]
-    frame = frame[0] if frame else tokens.iloc[:0]
+    frame = pd.concat(frame) if frame else tokens.iloc[:0]
     tags = frame[frame.kind != TEXT]
     main = None
     if len(tags):
@@ -244,34 +250,46 @@ def deduce(tokens: pd.DataFrame) -> dict:
         articles = tags[(tags.kind == ARTICLE) & (tags.words * 2 >= most)]
         holds = articles if len(articles) else tags[tags.words >= 0.8 * most]
         main = int(holds.sort_values(["depth", "token"]).token.iloc[-1 if not len(articles) else 0])
+    # layouts of a part of the pages, told by the frame reaching no deeper than the body: each class's
+    # element that holds nearly all words of its own pages
+    variants = []
+    if main is None or int(tags[tags.token == main].depth.iloc[0]) <= 2:
+        for is_frame, own in classes:
+            holds = own[(own.kind != TEXT) & (own.n == own.df) & (own.depth > 2) & (own.words > 0) & (own.words >= 0.8 * own.of)]
+            if not is_frame and len(holds) and holds.df.iloc[0] >= max(MIN_PAGES, VARIANT * page.df):
+                articles = holds[holds.kind == ARTICLE]
+                holds = (articles if len(articles) else holds).sort_values(["depth", "token"])
+                variants.append(int(holds.token.iloc[0 if len(articles) else -1]))
     bounds = tags.place.to_numpy() / np.maximum(tags.n.to_numpy(), 1) if len(tags) else np.zeros(0)
     bounds = np.sort(bounds)
     nested = [(int(np.searchsorted(bounds, own["at"].iloc[0])), own.token.tolist()) for is_frame, own in classes if not is_frame and len(own) > 1]
-    return {"main_role": main, "frame": tags.token.tolist(), "template_texts": frame[frame.kind == TEXT].token.tolist(), "nested": nested, "pages": int(page.df)}
+    return {"main_role": main, "variants": variants, "frame": tags.token.tolist(), "template_texts": frame[frame.kind == TEXT].token.tolist(), "nested": nested, "pages": int(page.df)}
 
 
-_TEMPLATE = "host string, pages long, main_role long, frame array<long>, template_texts array<long>, nested array<struct<slot:int,tokens:array<long>>>"
+_TEMPLATE = "host string, pages long, main_role long, variants array<long>, frame array<long>, template_texts array<long>, nested array<struct<slot:int,tokens:array<long>>>"
 
 
 def _templates(tokens: pd.DataFrame) -> pd.DataFrame:
     t = deduce(tokens)
-    return pd.DataFrame([{"host": tokens.host.iloc[0], "pages": t["pages"], "main_role": t["main_role"], "frame": t["frame"], "template_texts": t["template_texts"], "nested": [{"slot": s, "tokens": k} for s, k in t["nested"]]}]).astype({"main_role": "Int64"})
+    return pd.DataFrame([{"host": tokens.host.iloc[0], "pages": t["pages"], "main_role": t["main_role"], "variants": t["variants"], "frame": t["frame"], "template_texts": t["template_texts"], "nested": [{"slot": s, "tokens": k} for s, k in t["nested"]]}]).astype({"main_role": "Int64"})
 
 
 def page_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One template for each host, and one over all (host ``*``)."""
     named = pages.select(_host(F.col(url).cast("string")), F.col(html).cast("string").alias("html"))
-    stats = named.mapInArrow(_occurrences, _STAT_SQL).groupBy("host", "token", "kind", "depth").agg(F.bit_xor("sig").alias("sig"), *(F.sum(c).alias(c) for c in ("df", "n", "words", "place")))
+    stats = named.mapInArrow(_occurrences, _STAT_SQL).groupBy("host", "token", "kind", "depth").agg(F.bit_xor("sig").alias("sig"), *(F.sum(c).alias(c) for c in ("df", "n", "words", "place", "of")))
     stats = settle(stats, "html-tokens")
     pages_of = stats.filter(F.col("kind") == PAGE).select("host", F.col("df").alias("pages"))
-    # what is on half of a host's pages: twice the tokens of a page at most
-    often = stats.join(pages_of, "host").filter(F.col("df") * 2 >= F.col("pages")).drop("pages")
+    # what is on a tenth of a host's pages: ten times the tokens of a page at most
+    often = stats.join(pages_of, "host").filter(F.col("df") >= F.col("pages") * VARIANT).drop("pages")
     return often.groupBy("host").applyInPandas(_templates, _TEMPLATE)
 
 
-def main_text(source: str | None, main_role: int | None, template_texts=()) -> str:
-    """Text of a page's main slot."""
-    page = Page(source or "", main_role)
+def main_text(source: str | None, main_role: int | None, template_texts=(), variants=()) -> str:
+    """Text of a page's main slot: that of its variant layout, else that of the frame."""
+    page = Page(source or "", frozenset(variants)) if variants else None
+    if page is None or not page.has_main:
+        page = Page(source or "", frozenset(() if main_role is None else (main_role,)))
     drop = set(template_texts)
     if page.has_main:
         return "\n".join(t for t, _, main, _ in page.blocks if main)
@@ -285,18 +303,18 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     templates = settle(page_templates(pages, url, html), "html-templates")
     every = templates.filter(F.col("host") == EVERY).select("main_role").first()
     default = every.main_role if every else None
-    own = templates.filter((F.col("host") != EVERY) & (F.col("pages") >= min_pages)).select("host", "main_role", "template_texts")
+    own = templates.filter((F.col("host") != EVERY) & (F.col("pages") >= min_pages)).select("host", "main_role", "template_texts", "variants")
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), _host(F.col(url).cast("string")), F.col(html).cast("string").alias("html"))
-    joined = named.join(own, "host", "left").select("page_id", "url", "html", "main_role", "template_texts")
+    joined = named.join(own, "host", "left").select("page_id", "url", "html", "main_role", "template_texts", "variants")
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 got = []
-                for source, role, texts in zip(*(part[c].to_pylist() for c in ("html", "main_role", "template_texts")), strict=True):
+                for source, role, texts, variants in zip(*(part[c].to_pylist() for c in ("html", "main_role", "template_texts", "variants")), strict=True):
                     role = default if role is None else role
-                    got.append(main_text(source, None if role is None else role % 2**64, [t % 2**64 for t in texts or ()]))
+                    got.append(main_text(source, None if role is None else role % 2**64, [t % 2**64 for t in texts or ()], [v % 2**64 for v in variants or ()]))
                 yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     from pyspark.sql.types import LongType, StringType, StructField, StructType
