@@ -3,14 +3,16 @@
 Pages of one host come from a template. Tokens of a page are its start tags, told apart by their role
 (name, class, id and the roles above them), and its short text blocks outside an article. Tokens that
 occur equally often on every page of the host share an occurrence vector and form an equivalence
-class; the vector is kept as an XOR of (page, count) hashes, so that classes are found by an aggregate
+class; the vector is kept as sums of the halves of (page, count) hashes, which repeated pages do not cancel, so that classes are found by an aggregate
 and no host's pages ever meet in one task. The classes of what occurs once on a page, on nearly all
-pages that have tokens, are the template's frame; classes of repeated tokens nest in the slots between its members. The slot that
+pages that have tokens, are the template's frame; classes of repeated tokens are placed in the
+slots between its members and listed in the template, which extraction does not use. The slot that
 holds the pages' own words - the deepest frame element with nearly all of them - is the main one, and
 extraction takes it from each page. Short blocks outside articles that belong to the frame are
 template text, left out of pages that lack the main slot. Hosts of fewer than ``MIN_PAGES`` pages use the template deduced over all hosts.
 
-Inside the slot, elements that are no article text are left out: scripts, styles, menus, site headers
+Inside the slot, element and class lists do the work, not the template: a constant block there stays, and
+elements that are no article text are left out: scripts, styles, menus, site headers
 and footers, sidebars, notices, adverts, forms and reader comments, by element, role or class name. A
 header inside an article is its title and stays.
 
@@ -185,8 +187,8 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), url, F.lit("")).alias("host")
 
 
-_STAT = {"host": pa.string(), "token": pa.int64(), "kind": pa.int32(), "depth": pa.int32(), "sig": pa.int64(), "df": pa.int64(), "n": pa.int64(), "words": pa.int64(), "place": pa.int64(), "of": pa.int64()}
-_STAT_SQL = "host string, token long, kind int, depth int, sig long, df long, n long, words long, place long, of long"
+_STAT = {"host": pa.string(), "token": pa.int64(), "kind": pa.int32(), "depth": pa.int32(), "sig": pa.int64(), "sig2": pa.int64(), "df": pa.int64(), "n": pa.int64(), "words": pa.int64(), "place": pa.int64(), "of": pa.int64()}
+_STAT_SQL = "host string, token long, kind int, depth int, sig long, sig2 long, df long, n long, words long, place long, of long"
 PAGE, TAG, ARTICLE, TEXT = range(4)
 EVERY = "*"
 #: The frame stands once on at least this share of the pages that have tokens; a variant layout on that.
@@ -221,15 +223,11 @@ def _occurrences(batches):
             for (token, kind, depth), (n, words, place) in seen.items():
                 sig = _hash(key, n)
                 for h in (host, EVERY) if kind != TEXT else (host,):
-                    x = total.setdefault((h, token, kind, depth), [0, 0, 0, 0, 0, 0])
-                    x[0] ^= sig
-                    x[1] += 1
-                    x[2] += n
-                    x[3] += words
-                    x[4] += place
-                    x[5] += page.words
+                    x = total.setdefault((h, token, kind, depth), [0, 0, 0, 0, 0, 0, 0])
+                    for at, value in enumerate((sig & 0xFFFFFFFF, sig >> 32, 1, n, words, place, page.words)):
+                        x[at] += value
         if total:
-            rows = [(h, _signed(t), k, d, _signed(x[0]), *x[1:]) for (h, t, k, d), x in total.items()]
+            rows = [(h, _signed(t), k, d, *x) for (h, t, k, d), x in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STAT.values(), strict=True)], list(_STAT))
 
 
@@ -237,7 +235,7 @@ def deduce(tokens: pd.DataFrame) -> dict:
     """The template of one host from its frequent tokens: equivalence classes, the frame, the main slot."""
     page = tokens[tokens.kind == PAGE].iloc[0]
     classes = []
-    for sig, own in tokens[tokens.kind != PAGE].groupby("sig"):
+    for _, own in tokens[tokens.kind != PAGE].groupby(["sig", "sig2"]):
         own = own.assign(at=own.place / own.n).sort_values(["at", "token"])
         once = (own.n == own.df).all() and own.df.iloc[0] >= SUPPORT * page.df
         classes.append((once, own))
@@ -277,7 +275,7 @@ def _templates(tokens: pd.DataFrame) -> pd.DataFrame:
 def page_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One template for each host, and one over all (host ``*``)."""
     named = pages.select(_host(F.col(url).cast("string")), F.col(html).cast("string").alias("html"))
-    stats = named.mapInArrow(_occurrences, _STAT_SQL).groupBy("host", "token", "kind", "depth").agg(F.bit_xor("sig").alias("sig"), *(F.sum(c).alias(c) for c in ("df", "n", "words", "place", "of")))
+    stats = named.mapInArrow(_occurrences, _STAT_SQL).groupBy("host", "token", "kind", "depth").agg(*(F.sum(c).alias(c) for c in ("sig", "sig2", "df", "n", "words", "place", "of")))
     stats = settle(stats, "html-tokens")
     pages_of = stats.filter(F.col("kind") == PAGE).select("host", F.col("df").alias("pages"))
     # what is on a tenth of a host's pages: ten times the tokens of a page at most

@@ -28,3 +28,15 @@ def test_empty_and_error_pages_leave_the_frame(spark):
 def test_variant_layouts_of_a_host(spark):
     got = texts(spark, [site(layout(i, "old-story" if i % 2 else "story"), i) for i in range(30)])
     assert [got[i] for i in range(30)] == [text(i) for i in range(30)]
+
+
+def test_doubled_table(spark):
+    pages = [site(layout(i, "story"), i) for i in range(12)]
+    got = texts(spark, pages * 2)
+    assert [got[i] for i in range(24)] == [text(i) for i in range(12)] * 2
+
+
+def test_doubled_table_of_variant_layouts(spark):
+    pages = [site(layout(i, "old-story" if i % 2 else "story"), i) for i in range(12)]
+    got = texts(spark, pages * 2)
+    assert [got[i] for i in range(24)] == [text(i) for i in range(12)] * 2
