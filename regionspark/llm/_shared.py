@@ -13,6 +13,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -75,5 +76,23 @@ def open_array(uri: str, dtype: str) -> np.ndarray:
     return np.frombuffer(read_bytes(uri), dtype)
 
 
+#: A table of at most so many rows is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: str, rows: str, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``small``, one row for each value of ``on``, to ``big``; column ``rows`` of ``small`` tells
+    about how many rows of ``big`` have the value. A table of ``most`` rows is broadcast. Of a larger one, values
+    that hold more than a fair share of a task are: as each has over 1 / (4 x partitions) of the
+    rows, they are at most 4 x partitions. The rest is joined by a shuffle."""
+    parts = shuffle_parts(big.sparkSession)
+    n, total = small.agg(F.count(F.lit(1)), F.sum(rows)).first()
+    if n <= most:
+        return big.join(F.broadcast(small), on, how)
+    hot = F.broadcast(small.filter(F.col(rows) * 4 * parts > total))
+    rest = big.join(hot.select(on), on, "left_anti").join(small.filter(F.col(rows) * 4 * parts <= total), on, how)
+    return big.join(hot, on).unionByName(rest)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -1,27 +1,35 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
 Pages of one host come from a template. Tokens of a page are its start tags, told apart by their role
-(name, class, id and the roles above them), and its short text blocks outside an article. Tokens that
-occur equally often on every page of the host share an occurrence vector and form an equivalence
-class; the vector is kept as sums of the halves of (page, count) hashes, which repeated pages do not cancel, so that classes are found by an aggregate
-and no host's pages ever meet in one task. The classes of what occurs once on a page, on nearly all
-pages that have tokens, are the template's frame; classes of repeated tokens are placed in the
-slots between its members and listed in the template, which extraction does not use. The slot that
-holds the pages' own words - the deepest frame element with nearly all of them - is the main one, and
-extraction takes it from each page. Short blocks outside articles that belong to the frame are
-template text, left out of pages that lack the main slot. Hosts of fewer than ``MIN_PAGES`` pages use the template deduced over all hosts.
-
-Inside the slot, element and class lists do the work, not the template: a constant block there stays, and
-elements that are no article text are left out: scripts, styles, menus, site headers
-and footers, sidebars, notices, adverts, forms and reader comments, by element, role or class name. A
-header inside an article is its title and stays.
+(name, class, id and the roles above them), and its text blocks with the role they stand in. Tokens
+that occur equally often on every page of the host share an occurrence vector and form an equivalence
+class. The vector is kept as sums of the halves of (page, count) hashes over the host's distinct pages,
+so classes are found by an aggregate, no host's pages ever meet in one task, and repeated pages count
+once.
+
+Template. The classes of what occurs once on a page, on at least ``SUPPORT`` of the pages that have
+tokens, are its frame; classes of repeated tokens nest in the places between the frame's members. An
+element whose text is in its own class holds no data: that text is the same wherever the element stands
+(on ``SUPPORT`` of its pages), and is template text, in the frame and in nested classes alike. What is
+left are the slots. The slot that holds the pages' own words - the deepest frame element with nearly all
+of them, an article first - is the main one, and so is that of each layout on at least ``VARIANT`` of
+the pages.
+
+Extraction takes the blocks of the main slot that are no template text. A page without any main slot
+gives its article, else all blocks that are no template text. A heading inside an article is its title
+and stays, as does a line that is on every page but stands in an element whose other text differs. Hosts of
+fewer than ``MIN_PAGES`` distinct pages have too few to deduce from and use the template over all hosts.
+
+Last resort: what differs by page and still is no article text (menus with links of the page, adverts,
+forms, reader comments) can't be told by a template when it stands in the main slot. There, elements
+are left out by element, role or class name. Scripts and styles never are text.
 
 Text: character references are decoded; white space inside a block, line breaks and table cell bounds
 become one space; blocks are joined in page order by one newline.
 
 Defined cases: null or empty html gives an empty text; a null or odd url makes a host of its own;
-rows that share a page_id give a row each; malformed markup is read leniently (unclosed elements end
-with their parent, a stray ``<`` is text); an empty table gives no rows.
+rows that share a page_id give a row each, and page_id may be of any type; malformed markup is read
+leniently (unclosed elements end with their parent, a stray ``<`` is text); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle
+from regionspark.llm._shared import settle, skew_join
 
 MIN_PAGES = 3
 _TOKEN = re.compile(
@@ -51,6 +59,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr caption ul".split())
 _SPACE = frozenset("br td th".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NOT_TEXT = frozenset("head nav aside form button select option datalist input svg math canvas object audio video map menu dialog footer header".split())
 _NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisements?|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side-?bar|rail|menu|nav|navbar|navigation|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay"
@@ -82,7 +91,7 @@ class Page:
     """One pass over a page: its elements' roles and its blocks, with where they stand."""
 
     def __init__(self, source: str, main_roles: frozenset[int] = frozenset()):
-        self.blocks: list[tuple[str, bool, bool, int]] = []  # text, inside article, inside main slot, role of its element
+        self.blocks: list[tuple[str, bool, bool, int, bool]] = []  # text, inside article, inside main slot, role of its element, heading of an article
         self.elements: list[_Element] = []
         self.has_main = False
         self.words = 0
@@ -179,7 +188,7 @@ class Page:
             for e in stack:
                 e.words += n
             e = next((e for e in reversed(stack) if e.name in _BLOCK), stack[0])
-            self.blocks.append((text, e.article, e.main, e.role))
+            self.blocks.append((text, e.article, e.main, e.role, e.article and e.name in _HEADINGS))
 
 
 def _host(url: Column) -> Column:
@@ -187,60 +196,79 @@ def _host(url: Column) -> Column:
     return F.coalesce(F.nullif(found, F.lit("")), url, F.lit("")).alias("host")
 
 
-_STAT = {"host": pa.string(), "token": pa.int64(), "kind": pa.int32(), "depth": pa.int32(), "sig": pa.int64(), "sig2": pa.int64(), "df": pa.int64(), "n": pa.int64(), "words": pa.int64(), "place": pa.int64(), "of": pa.int64()}
-_STAT_SQL = "host string, token long, kind int, depth int, sig long, sig2 long, df long, n long, words long, place long, of long"
-PAGE, TAG, ARTICLE, TEXT = range(4)
+_STAT = {"host": pa.string(), "token": pa.int64(), "kind": pa.int32(), "depth": pa.int32(), "role": pa.int64(), "sig": pa.int64(), "sig2": pa.int64(), "df": pa.int64(), "n": pa.int64(), "words": pa.int64(), "place": pa.int64(), "of": pa.int64()}
+_STAT_SQL = "host string, token long, kind int, depth int, role long, sig long, sig2 long, df long, n long, words long, place long, of long"
+#: Kinds of tokens: the page itself, a start tag, one of an article, a text block, all text blocks of a role.
+PAGE, TAG, ARTICLE, TEXT, BLOCKS = range(5)
 EVERY = "*"
 #: The frame stands once on at least this share of the pages that have tokens; a variant layout on that.
 SUPPORT, VARIANT = 0.9, 0.1
+_PACKED = np.dtype([("token", "<u8"), ("role", "<u8"), ("kind", "u1"), ("depth", "<u2"), ("n", "<u4"), ("words", "<u4"), ("place", "<u8")])
 
 
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
 
+def page_tokens(source: str) -> tuple[np.ndarray, int]:
+    """(distinct tokens of a page with their counts, its words)."""
+    page = Page(source)
+    seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
+    for place, e in enumerate(page.elements):
+        if not e.out:
+            x = seen[e.role, 0, ARTICLE if e.name in ("article", "main") else TAG, e.depth]
+            x[0] += 1
+            x[1] += e.words
+            x[2] += place
+    for text, _, _, role, heading in page.blocks:
+        seen[role, 0, BLOCKS, 0][0] += 1
+        if not heading:
+            seen[_hash(role, text), role, TEXT, 0][0] += 1
+    return np.array([(*key, *x) for key, x in seen.items()], _PACKED), page.words
+
+
+def _pages(batches):
+    """Host, content hash and packed tokens of each page that has any (null and empty ones are no support)."""
+    for b in batches:
+        rows = []
+        for host, source in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
+            tokens, words = page_tokens(source or "")
+            if len(tokens):
+                key = xxhash.xxh3_128_intdigest(source)
+                rows.append((host, _signed(key >> 64), _signed(key % 2**64), words, tokens.tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 3, pa.binary()), strict=True)], ["host", "k1", "k2", "words", "tokens"])
+
+
 def _occurrences(batches):
-    """Per batch, host and token: what a sum over pages needs. Kinds: the page itself, a start tag, one
-    of an article, a text block."""
+    """Per batch, host and token: what a sum over distinct pages needs."""
     for b in batches:
         total: dict[tuple, list[int]] = {}
-        for host, source in zip(b["host"].to_pylist(), b["html"].to_pylist(), strict=True):
-            source = source or ""
-            page = Page(source)
-            key = _hash(source[:0], len(source), source)
-            seen: dict[tuple, list[int]] = defaultdict(lambda: [0, 0, 0])
-            for place, e in enumerate(page.elements):
-                if not e.out:
-                    x = seen[e.role, ARTICLE if e.name in ("article", "main") else TAG, e.depth]
-                    x[0] += 1
-                    x[1] += e.words
-                    x[2] += place
-            for text, article, _, role in page.blocks:
-                if not article and text.count(" ") < 20:
-                    seen[_hash(role, text), TEXT, 0][0] += 1
-            if seen:  # pages without tokens (null, empty) are no support
-                seen[0, PAGE, 0][0] = 1
-            for (token, kind, depth), (n, words, place) in seen.items():
-                sig = _hash(key, n)
-                for h in (host, EVERY) if kind != TEXT else (host,):
-                    x = total.setdefault((h, token, kind, depth), [0, 0, 0, 0, 0, 0, 0])
-                    for at, value in enumerate((sig & 0xFFFFFFFF, sig >> 32, 1, n, words, place, page.words)):
+        for host, k1, words, packed in zip(*(b[c].to_pylist() for c in ("host", "k1", "words", "tokens")), strict=True):
+            tokens = np.frombuffer(packed, _PACKED).tolist()
+            for token, role, kind, depth, n, w, place in [*tokens, (0, 0, PAGE, 0, 1, 0, 0)]:
+                sig = _hash(k1, n)
+                for h in (host, EVERY) if kind in (PAGE, TAG, ARTICLE) else (host,):
+                    x = total.setdefault((h, token, kind, depth, role), [0, 0, 0, 0, 0, 0, 0])
+                    for at, value in enumerate((sig & 0xFFFFFFFF, sig >> 32, 1, n, w, place, words)):
                         x[at] += value
         if total:
-            rows = [(h, _signed(t), k, d, *x) for (h, t, k, d), x in total.items()]
+            rows = [(h, _signed(t), k, d, _signed(r), *x) for (h, t, k, d, r), x in total.items()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _STAT.values(), strict=True)], list(_STAT))
 
 
 def deduce(tokens: pd.DataFrame) -> dict:
-    """The template of one host from its frequent tokens: equivalence classes, the frame, the main slot."""
+    """The template of one host from its frequent tokens: equivalence classes, the frame, template texts,
+    the main slot and those of variant layouts."""
     page = tokens[tokens.kind == PAGE].iloc[0]
+    least = max(MIN_PAGES, VARIANT * page.df)
     classes = []
-    for _, own in tokens[tokens.kind != PAGE].groupby(["sig", "sig2"]):
+    for _, own in tokens[tokens.kind.isin((TAG, ARTICLE, TEXT))].groupby(["sig", "sig2"]):
         own = own.assign(at=own.place / own.n).sort_values(["at", "token"])
         once = (own.n == own.df).all() and own.df.iloc[0] >= SUPPORT * page.df
         classes.append((once, own))
     frame = [own for is_frame, own in classes if is_frame]
-    frame = pd.concat(frame) if frame else tokens.iloc[:0]
+    frame = pd.concat(frame) if frame else tokens.iloc[:0].assign(at=0.0)
     tags = frame[frame.kind != TEXT]
     main = None
     if len(tags):
@@ -254,14 +282,18 @@ def deduce(tokens: pd.DataFrame) -> dict:
     if main is None or int(tags[tags.token == main].depth.iloc[0]) <= 2:
         for is_frame, own in classes:
             holds = own[(own.kind != TEXT) & (own.n == own.df) & (own.depth > 2) & (own.words > 0) & (own.words >= 0.8 * own.of)]
-            if not is_frame and len(holds) and holds.df.iloc[0] >= max(MIN_PAGES, VARIANT * page.df):
+            if not is_frame and len(holds) and holds.df.iloc[0] >= least:
                 articles = holds[holds.kind == ARTICLE]
                 holds = (articles if len(articles) else holds).sort_values(["depth", "token"])
                 variants.append(int(holds.token.iloc[0 if len(articles) else -1]))
-    bounds = tags.place.to_numpy() / np.maximum(tags.n.to_numpy(), 1) if len(tags) else np.zeros(0)
-    bounds = np.sort(bounds)
+    # an element whose blocks are the same texts wherever it stands has no slot: they are template text
+    blocks = tokens[(tokens.kind == BLOCKS) & (tokens.df >= least)].set_index("token")[["df", "n"]]
+    texts = tokens[tokens.kind == TEXT].join(blocks, on="role", rsuffix="_role", how="inner")
+    texts = texts[texts.df >= SUPPORT * texts.df_role]
+    texts = texts[texts.groupby("role").n.transform("sum") >= SUPPORT * texts.n_role]
+    bounds = np.sort(tags["at"].to_numpy())
     nested = [(int(np.searchsorted(bounds, own["at"].iloc[0])), own.token.tolist()) for is_frame, own in classes if not is_frame and len(own) > 1]
-    return {"main_role": main, "variants": variants, "frame": tags.token.tolist(), "template_texts": frame[frame.kind == TEXT].token.tolist(), "nested": nested, "pages": int(page.df)}
+    return {"main_role": main, "variants": sorted(variants), "frame": tags.token.tolist(), "template_texts": sorted(texts.token.tolist()), "nested": nested, "pages": int(page.df)}
 
 
 _TEMPLATE = "host string, pages long, main_role long, variants array<long>, frame array<long>, template_texts array<long>, nested array<struct<slot:int,tokens:array<long>>>"
@@ -275,25 +307,27 @@ def _templates(tokens: pd.DataFrame) -> pd.DataFrame:
 def page_templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """One template for each host, and one over all (host ``*``)."""
     named = pages.select(_host(F.col(url).cast("string")), F.col(html).cast("string").alias("html"))
-    stats = named.mapInArrow(_occurrences, _STAT_SQL).groupBy("host", "token", "kind", "depth").agg(*(F.sum(c).alias(c) for c in ("sig", "sig2", "df", "n", "words", "place", "of")))
+    distinct = named.mapInArrow(_pages, "host string, k1 long, k2 long, words long, tokens binary").groupBy("host", "k1", "k2").agg(F.first("words").alias("words"), F.first("tokens").alias("tokens"))
+    stats = distinct.mapInArrow(_occurrences, _STAT_SQL).groupBy("host", "token", "kind", "depth", "role").agg(*(F.sum(c).alias(c) for c in ("sig", "sig2", "df", "n", "words", "place", "of")))
     stats = settle(stats, "html-tokens")
     pages_of = stats.filter(F.col("kind") == PAGE).select("host", F.col("df").alias("pages"))
     # what is on a tenth of a host's pages: ten times the tokens of a page at most
-    often = stats.join(pages_of, "host").filter(F.col("df") >= F.col("pages") * VARIANT).drop("pages")
+    often = skew_join(stats, pages_of, "host", "pages").filter(F.col("df") >= F.col("pages") * VARIANT).drop("pages")
     return often.groupBy("host").applyInPandas(_templates, _TEMPLATE)
 
 
 def main_text(source: str | None, main_role: int | None, template_texts=(), variants=()) -> str:
-    """Text of a page's main slot: that of its variant layout, else that of the frame."""
+    """What a page has in its main slot - that of its variant layout, else that of the frame - without
+    template texts."""
     page = Page(source or "", frozenset(variants)) if variants else None
     if page is None or not page.has_main:
         page = Page(source or "", frozenset(() if main_role is None else (main_role,)))
     drop = set(template_texts)
+    blocks = [b for b in page.blocks if not drop or b[4] or _hash(b[3], b[0]) not in drop]
     if page.has_main:
-        return "\n".join(t for t, _, main, _ in page.blocks if main)
-    # a page that leaves the template: its article, else what is not template text
-    kept = [b for b in page.blocks if b[1]] or [b for b in page.blocks if not drop or _hash(b[3], b[0]) not in drop]
-    return "\n".join(b[0] for b in kept)
+        return "\n".join(b[0] for b in blocks if b[2])
+    # a page that leaves the template: its article, else all that is not template text
+    return "\n".join(b[0] for b in [b for b in blocks if b[1]] or blocks)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
@@ -301,9 +335,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     templates = settle(page_templates(pages, url, html), "html-templates")
     every = templates.filter(F.col("host") == EVERY).select("main_role").first()
     default = every.main_role if every else None
-    own = templates.filter((F.col("host") != EVERY) & (F.col("pages") >= min_pages)).select("host", "main_role", "template_texts", "variants")
+    own = templates.filter((F.col("host") != EVERY) & (F.col("pages") >= min_pages)).select("host", "main_role", "template_texts", "variants", "pages")
     named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), _host(F.col(url).cast("string")), F.col(html).cast("string").alias("html"))
-    joined = named.join(own, "host", "left").select("page_id", "url", "html", "main_role", "template_texts", "variants")
+    joined = skew_join(named, own, "host", "pages", "left", 2_000).select("page_id", "url", "html", "main_role", "template_texts", "variants")
 
     def run(batches):
         for b in batches:
