@@ -12,8 +12,9 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -76,6 +77,14 @@ def open_array(uri: str, dtype: str) -> np.ndarray:
     return np.frombuffer(read_bytes(uri), dtype)
 
 
+def whole_id(df: DataFrame, key: str) -> Column:
+    """The id column as a long; ids of other types are refused, as casting them would change or lose some."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, ByteType | ShortType | IntegerType | LongType | NullType):
+        raise TypeError(f"column {key} must hold whole numbers (byte to long), not {kind.simpleString()}")
+    return F.col(key).cast("long")
+
+
 #: A table of at most so many rows is broadcast.
 BROADCAST_ROWS = 10_000
 

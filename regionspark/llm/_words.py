@@ -17,10 +17,9 @@ WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.int64).view(U64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_WINDOW = 1 << 20
-_powers: dict[str, np.ndarray] = {}
+#: By size of a short word: which of eight bytes are its own, and the space that closes it.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+_CLOSE = np.array([0x20 << 8 * n if n < 8 else 0 for n in range(9)], U64)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
@@ -71,37 +70,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, _WINDOW + 1)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _powers[name] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
-
-
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each range of bytes, by windows of bounded size. The ranges don't overlap."""
-    if (starts[1:] < starts[:-1]).any():
-        order = np.argsort(starts)
-        out = np.empty(len(starts), U64)
-        out[order] = word_hashes(buf, starts[order], ends[order])
-        return out
+    """64-bit hash of each word: of up to eight bytes one that no other such word has (its bytes, closed
+    by a space where shorter, which no word holds, through a bijection), of more bytes XXH64."""
     out = np.empty(len(starts), U64)
+    sizes = ends - starts
+    short = sizes <= 8
+    u8 = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), 0, (1,))
+    n = sizes[short].astype(U64)
+    out[short] = mix((u8[starts[short]] & _KEEP[n]) | _CLOSE[n])
+    long = np.flatnonzero(~short)
+    out[long] = xxh64(buf, starts[long], ends[long], 7)
+    return out
+
+
+def line_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """XXH64 of byte ranges that may hold spaces."""
+    return xxh64(buf, starts, ends, 7)
+
+
+def take_ranges(src: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """src[s : s + n] of all ranges, end to end."""
+    ends = np.cumsum(sizes)
+    if not len(ends) or not ends[-1]:
+        return src[:0]
+    return src[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+
+
+def same_ranges(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each pair of ranges, of one size each, are equal. Sizes are above zero."""
+    out = np.ones(len(sizes), bool)
+    to = np.cumsum(sizes)
     at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _WINDOW, "right")))
-        a, z = int(starts[at]), int(ends[to - 1])
-        up, down = _power(z - a + 1)
-        total = np.zeros(z - a + 1, U64)
-        np.cumsum(_TABLE[buf[a:z]] * up[: z - a], out=total[1:])
-        s, e = starts[at:to] - a, ends[at:to] - a
-        out[at:to] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
-        at = to
+    while at < len(sizes):  # so many bytes at a time
+        z = max(at + 1, int(np.searchsorted(to, (to[at - 1] if at else 0) + (4 << 20), "right")))
+        n = sizes[at:z]
+        differ = take_ranges(a, a_at[at:z], n) != take_ranges(b, b_at[at:z], n)
+        out[at:z] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        at = z
     return out
 
 
+def distinct_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray | None = None):
+    """(hash, row of one occurrence, count) of each distinct word, and which of them each word is.
+
+    Words are told apart by their bytes: where those of one hash differ, they are entries of their
+    own. Entries are sorted by hash."""
+    h = word_hashes(buf, starts, ends) if h is None else h
+    keys, first, back, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    sizes = ends - starts
+    rep = first[back]
+    odd = sizes != sizes[rep]
+    # two words of at most eight bytes never share a hash
+    check = np.flatnonzero(~odd & (sizes > 8) & (count[back] > 1))
+    odd[check] = ~same_ranges(buf, starts[check], buf, starts[rep[check]], sizes[check])
+    odd = np.flatnonzero(odd)
+    if not len(odd):
+        return keys, first, count, back
+    more: dict[bytes, int] = {}
+    for i in odd.tolist():
+        count[back[i]] -= 1
+        word = buf[starts[i] : ends[i]].tobytes()
+        if word not in more:
+            more[word] = len(first)
+            keys, first, count = np.append(keys, h[i]), np.append(first, i), np.append(count, 0)
+        back[i] = more[word]
+        count[more[word]] += 1
+    order = np.argsort(keys, kind="stable")
+    place = np.empty_like(order)
+    place[order] = np.arange(len(order))
+    return keys[order], first[order], count[order], place[back]
+
+
 def spaced(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes with one space after each word and nothing else between, and the words' new bounds."""
     if not len(starts):

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regionspark.llm._shared import whole_id
 from regionspark.llm._words import U64, mix, slices, text_bytes, word_bounds, word_hashes
 
 ERROR_RATE = 0.2
@@ -212,7 +213,7 @@ def _approximate_long(pattern: np.ndarray, window: np.ndarray, anchored: bool) -
 
 def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES):
     """Yields (keys, texts) of blocks of items, each of about ``block_bytes`` at most."""
-    named = benchmark.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null")
+    named = benchmark.select(whole_id(benchmark, key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null")
     total = named.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // block_bytes)
     for i in range(n):
@@ -223,7 +224,7 @@ def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text",
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, distance, first_word, last_word: the best match of each row and item."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
     for keys, texts in item_blocks(benchmark, block_bytes=block_bytes):
         sent = named.sparkSession.sparkContext.broadcast((keys, texts))

@@ -32,11 +32,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, open_array, shuffle_parts, write_bytes
+from regionspark.llm._shared import new_dir, open_array, shuffle_parts, write_bytes, whole_id
 from regionspark.llm._words import LOWER, U64, mix, slices, text_bytes, word_bounds, word_hashes
 
-#: Hashes of the end token and of the start mark. No word has them but by chance of 2 in 2^64.
-END, START = U64(0), U64(2**64 - 1)
+#: Hash of the end token: of a space, which no word of up to eight bytes has.
+END = mix(np.array([0x20], U64))[0]
 _SLICE = 24 << 20
 
 
@@ -382,7 +382,7 @@ def score_texts(docs: DataFrame, spec: dict, text: str = "text") -> DataFrame:
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of all rows,
     by a model of those that aren't held out."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(key).cast("long")), F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, key).alias("doc_id"), F.coalesce(held_out(F.col(key).cast("long")), F.lit(False)).alias("held_out"), F.col(text).cast("string").alias("text"))
     spec = train(named.filter(~F.col("held_out")))
     out = score_texts(named, spec)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(spec["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))

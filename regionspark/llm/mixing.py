@@ -23,11 +23,11 @@ import zlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle
+from regionspark.llm._shared import settle, whole_id
 
 BLOCK = 4096
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -74,11 +74,11 @@ def _flight(size, p, open_, rng, count: bool) -> list[int]:
 
 
 def _block(level: int, land: bool):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", ignore_index=True)
-        rng = np.random.default_rng([zlib.crc32(key[0].encode()), level, int(key[1])])
-        pdf["p"] = fly(pdf["size"].tolist(), pdf["p"].tolist(), rng, land)
-        return pdf[["doc_id", "h", "skey", "size", "copies", "p"]]
+    def run(key, rows):  # Arrow, as ids may be null and beyond the whole numbers of a double
+        rows = rows.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        rng = np.random.default_rng([zlib.crc32(key[0].as_py().encode()), level, key[1].as_py()])
+        p = fly(rows["size"].to_pylist(), rows["p"].to_pylist(), rng, land)
+        return rows.select(["doc_id", "h", "skey", "size", "copies"]).append_column("p", pa.array(p, pa.float64()))
 
     return run
 
@@ -108,7 +108,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """doc_id, h (hash of the text), skey, size, source_size, target, copies, taken of every row."""
     sizes = settle(
         docs.select(
-            F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"), F.col(source).cast("string").alias("source"),
+            whole_id(docs, key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"), F.col(source).cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("skey"),
             F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         ), "mix-sizes",
@@ -126,7 +126,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
         n = F.ceil(F.col("n_docs") / F.lit(block))
         dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", F.lit(level)), n)).select("doc_id", "h", "skey", "size", "copies", "p", "block")
         land = level > 0 and rows.agg(F.max("n_docs")).first()[0] in (None, *range(block + 1))
-        flown = settle(dealt.groupBy("skey", "block").applyInPandas(_block(level, land), "doc_id long, h long, skey string, size long, copies long, p double"), "mix-flown")
+        flown = settle(dealt.groupBy("skey", "block").applyInArrow(_block(level, land), "doc_id long, h long, skey string, size long, copies long, p double"), "mix-flown")
         decided = flown.filter("p = 0 or p = 1")
         done = decided if done is None else done.unionByName(decided)
         if land:

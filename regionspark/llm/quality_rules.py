@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._words import U64, mix, slices, text_bytes, word_bounds, word_hashes
+from regionspark.llm._shared import whole_id
+from regionspark.llm._words import U64, line_hashes, mix, slices, text_bytes, word_bounds, word_hashes
 
 MAX_LABELLED = 200_000
 #: A rule stays if this share of what it rejects, on the rows kept for pruning, is labelled bad.
@@ -80,7 +81,7 @@ def text_stats(column) -> dict[str, np.ndarray]:
     line_end = np.minimum(line_end, np.maximum(cut, line_start))
     written = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
     line_start, line_end, line_doc = line_start[written], line_end[written], line_doc[written]
-    again = _repeated(word_hashes(buf, line_start, line_end), line_doc)[1] if len(line_start) else np.zeros(0, bool)
+    again = _repeated(line_hashes(buf, line_start, line_end), line_doc)[1] if len(line_start) else np.zeros(0, bool)
     word_doc = np.repeat(np.arange(n), n_words)
     h = word_hashes(buf, starts, ends)
     distinct = ~_repeated(h, word_doc)[1] if len(h) else np.zeros(0, bool)
@@ -106,7 +107,7 @@ def with_stats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             got = text_stats(b["text"])
             yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(got[k], pa.int64()) for k in STATS)], ["doc_id", *STATS])
 
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return named.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {t}" for k, t in STATS.items()))
 
 
@@ -225,10 +226,10 @@ def keep_expression(rules: list[Rule]) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Learn the list from labelled rows (label 0: rejected)."""
-    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
+    known = labels.select(whole_id(labels, key).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("least")).filter("label = least")
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))  # rows of 12 bytes, max_labelled at most
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, "doc_id", "left_semi")
+    named = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text")).join(known, "doc_id", "left_semi")
     stats = with_stats(named).join(known, "doc_id").filter(~base_failed()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     rows = stats.select("label", F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("fold"), *(ratio(k).alias(k) for k in RATIOS)).toArrow()
     if not rows.num_rows:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,9 +75,16 @@ def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionspark.llm.token_rollups import TokenRollups
 
     rollups = TokenRollups(spark)
-    docs = _table(spark, sf_dir, "documents")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    labels = _table(spark, sf_dir, "labels")
     rollups.commit("load", docs)
-    rollups.commit("load", docs)  # delivered again: nothing changes
+    # texts labelled poor are revised to single spaces, those labelled toxic are taken back
+    poor = labels.filter("quality = 0").select("doc_id").distinct()
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    revised = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    rollups.commit("revise", revised.withColumn("op", F.lit("revise")), op="op")
+    for _ in range(2):  # delivered again: nothing changes
+        rollups.commit("take-back", docs.join(toxic, "doc_id", "left_semi").withColumn("op", F.lit("delete")), op="op")
     return rollups.totals()
 
 
@@ -95,10 +103,14 @@ QUERIES = {
 _PIECES = r"[A-Za-z]+|[0-9]|[^\x00-\x7F]+|[!-/:-@\[-`{-~]"
 ORACLE: dict[str, str] = {
     "op2_token_rollups": rf"""
+        WITH kept AS (
+            SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g') ELSE text END AS text
+            FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+        )
         SELECT source, lang, v.tokenizer_version, count(*) AS n_docs, CAST(sum(v.n_tokens) AS BIGINT) AS n_tokens
         FROM (
-            SELECT source, lang, 'words-1' AS tokenizer_version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM documents
-            UNION ALL SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{_PIECES}')), 0) FROM documents
-            UNION ALL SELECT source, lang, 'bytes-1', coalesce(strlen(text), 0) FROM documents
+            SELECT source, lang, 'words-1' AS tokenizer_version, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens FROM kept
+            UNION ALL SELECT source, lang, 'pieces-1', coalesce(len(regexp_extract_all(text, '{_PIECES}')), 0) FROM kept
+            UNION ALL SELECT source, lang, 'bytes-1', coalesce(strlen(text), 0) FROM kept
         ) AS v GROUP BY source, lang, v.tokenizer_version""",
 }

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle, shuffle_parts
+from regionspark.llm._shared import settle, shuffle_parts, whole_id
 from regionspark.llm._words import LOWER, U64, mix, slices, spaced, text_bytes, word_bounds, xxh64
 from regionspark.llm.components import components
 
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """doc_id, h (hash of the text), fp (signed 64-bit), root (of the class), component_id (smallest
     doc_id of the class) of every row. Classes are told apart by root: where rows share a doc_id, two
     classes may have the same smallest one."""
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, key).alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
     fp = settle(named.mapInArrow(_fingerprint_batches("text", shingle), "doc_id long, h long, fp long"), "fingerprints")
     per = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
     roots = components(fingerprint_links(per, max_bits))

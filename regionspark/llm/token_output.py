@@ -2,8 +2,10 @@
 
 File format. A run writes one folder:
 
-* ``words-NNNNN.*``: the word table. For each distinct word of the texts (sorted 64-bit word hash)
-  the token ids the tokenizer gives it; made once per word, memory-mapped by the encoders.
+* ``words-NNNNN.*``: the word table. For each distinct word of the texts (sorted 64-bit word hash, and
+  the word's bytes) the token ids the tokenizer gives it; made once per word, memory-mapped by the
+  encoders. A word is looked up by hash and then compared byte by byte, so words that share a hash
+  keep their own ids.
 * ``ranks``: little-endian u32, token id by rank; rank 0 is the most frequent id of the corpus.
 * ``shard-NNNNN``: texts in ascending doc_id order. ``RSVB`` + u32 version + u64 documents + u64
   control bytes + u64 data bytes; then i64 doc ids, u64 ids per document, control bytes, data bytes.
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, open_array, read_bytes, settle, shuffle_parts, write_bytes
-from regionspark.llm._words import slices, text_bytes, word_bounds, word_hashes
+from regionspark.llm._shared import new_dir, open_array, read_bytes, settle, shuffle_parts, write_bytes, whole_id
+from regionspark.llm._words import distinct_words, same_ranges, slices, take_ranges, text_bytes, word_bounds
 
 END_ID = 1
 SHARD_BYTES = 64 << 20
@@ -40,14 +42,6 @@ _HEAD = "<4sIQQQ"
 LENGTHS = np.array([[(b >> (2 * i) & 3) + 1 for i in range(4)] for b in range(256)], np.uint8)
 
 
-def take_ranges(src: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """src[s : s + n] of all ranges, end to end."""
-    ends = np.cumsum(sizes)
-    if not len(ends) or not ends[-1]:
-        return src[:0]
-    return src[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
-
-
 def code_ranks(ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(2-bit length codes, one per rank; data bytes)."""
     ranks = ranks.astype("<u4")
@@ -122,7 +116,7 @@ def _distinct_words(n: int, text: str):
         for b in slices(batches, text, 16 << 20):
             buf, off = text_bytes(b[text])
             starts, ends, _ = word_bounds(buf, off)
-            h, first, count = np.unique(word_hashes(buf, starts, ends), return_index=True, return_counts=True)
+            h, first, count, _ = distinct_words(buf, starts, ends)
             starts, ends = starts[first], ends[first]
             cuts = np.searchsorted(h, (np.arange(n + 1) * (2**64 / n)).clip(0, 2**64 - 2048).astype(np.uint64))
             cuts[-1] = len(h)
@@ -147,8 +141,9 @@ def _encode_table(folder: str, tokenizer_path: str):
         c = np.concatenate([np.frombuffer(p[2], "<i8") for p in parts])
         words = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
         at = np.cumsum(n) - n
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        total = np.bincount(back, c, len(keys)).astype(np.int64)
+        keys, first, _, back = distinct_words(words, at, at + n, h)
+        total = np.zeros(len(keys), np.int64)
+        np.add.at(total, back, c)
         ids, sizes = [], []
         for a in range(0, len(keys), 100_000):
             rows = first[a : a + 100_000]
@@ -158,6 +153,8 @@ def _encode_table(folder: str, tokenizer_path: str):
         ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         name = f"{folder}/words-{bucket:05d}"
         write_bytes(f"{name}.hash", keys.tobytes())
+        write_bytes(f"{name}.to", np.cumsum(n[first]).astype("<i8").tobytes())
+        write_bytes(f"{name}.words", take_ranges(words, at[first], n[first]).tobytes())
         write_bytes(f"{name}.end", np.cumsum(sizes).astype("<i8").tobytes())
         write_bytes(f"{name}.ids", ids.astype("<u4").tobytes())
         used, back = np.unique(ids, return_inverse=True)
@@ -194,28 +191,38 @@ def _id_counts(batches):
 
 
 class _Table:
-    """Maps word hashes to coded ids; arrays are memory-mapped, looked up in order of the hash."""
+    """Maps words to coded ids; arrays are memory-mapped, looked up in order of the hash."""
 
     def __init__(self, folder: str, buckets: list[int]):
         self.rank = np.empty(0, np.uint32)
         ranks = open_array(f"{folder}/ranks", "<u4")
         self.rank = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
         self.rank[ranks] = np.arange(len(ranks), dtype=np.uint32)
-        self.parts = [[open_array(f"{folder}/words-{b:05d}.{x}", t) for x, t in (("hash", np.uint64), ("end", "<i8"), ("ids", "<u4"))] for b in buckets]
+        self.parts = [[open_array(f"{folder}/words-{b:05d}.{x}", t) for x, t in (("hash", np.uint64), ("end", "<i8"), ("ids", "<u4"), ("to", "<i8"), ("words", "u1"))] for b in buckets]
         self.first = np.array([p[0][0] for p in self.parts], np.uint64)
 
-    def ranks_of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ranks end to end, ranks per key); keys are sorted and all known."""
+    def ranks_of(self, keys: np.ndarray, buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks end to end, ranks per word) of words given by hash, sorted, and bytes; all are known."""
         which = np.searchsorted(self.first, keys, "right") - 1
-        ranks, sizes = [], []
+        ranks, counts = [], []
         for k in np.unique(which):
-            h, end, ids = self.parts[k]
-            at = np.searchsorted(h, keys[which == k])
+            h, end, ids, to, words = self.parts[k]
+            own = np.flatnonzero(which == k)
+            at = np.searchsorted(h, keys[own])
+            todo = np.arange(len(own))
+            while len(todo):  # the next of the same hash where the bytes differ
+                here, of = at[todo], own[todo]
+                word = np.where(here > 0, to[np.maximum(here - 1, 0)], 0)
+                same = to[here] - word == sizes[of]
+                some = np.flatnonzero(same & (sizes[of] > 8))
+                same[some] = same_ranges(words, word[some], buf, starts[of[some]], sizes[of[some]])
+                todo = todo[~same]
+                at[todo] += 1
             z = end[at]
             a = np.where(at > 0, end[np.maximum(at - 1, 0)], 0)
             ranks.append(self.rank[take_ranges(ids, a, z - a)])
-            sizes.append(z - a)
-        return (np.concatenate(ranks), np.concatenate(sizes)) if ranks else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            counts.append(z - a)
+        return (np.concatenate(ranks), np.concatenate(counts)) if ranks else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 def _encode_docs(folder: str, buckets: list[int], bounds: list[int], key: str, text: str, end_id: int):
@@ -225,8 +232,8 @@ def _encode_docs(folder: str, buckets: list[int], bounds: list[int], key: str, t
             table = table or _Table(folder, buckets)
             buf, off = text_bytes(b[text])
             starts, ends, n_words = word_bounds(buf, off)
-            keys, back = np.unique(word_hashes(buf, starts, ends), return_inverse=True)
-            ranks, sizes = table.ranks_of(keys)
+            keys, first, _, back = distinct_words(buf, starts, ends)
+            ranks, sizes = table.ranks_of(keys, buf, starts[first], (ends - starts)[first])
             codes, data = code_ranks(ranks)
             ids_at = np.cumsum(sizes) - sizes
             bytes_to = np.concatenate([[0], np.cumsum(codes.astype(np.int64) + 1)])
@@ -331,7 +338,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     (shard, start, n_docs, n_tokens, n_null), one row for each shard file."""
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = shuffle_parts(spark)
     made = (
         docs.select("text").mapInArrow(_distinct_words(parts, "text"), "bucket int, h binary, n binary, c binary, words binary")

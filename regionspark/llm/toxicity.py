@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle
+from regionspark.llm._shared import settle, whole_id
 from regionspark.llm._words import U64, mix, slices, text_bytes, word_bounds, word_hashes
 
 MAX_LABELLED = 20_000
@@ -269,10 +269,10 @@ def _g2(t, n_t, c, n_c):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
+    known = labels.select(whole_id(labels, key).alias("doc_id"), F.col(label).cast("int").alias("label")).filter("label in (0, 1) and doc_id is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("label").alias("least")).filter("label = least").select("doc_id", "label")
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = named.join(F.broadcast(known), "doc_id").select("label", "text")  # at most max_labelled rows of 12 bytes are sent
     rows = settle(rows.mapInArrow(_sketch, "label int, sketch long, text string").dropDuplicates(["label", "sketch"]), "toxic-fit")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
@@ -333,7 +333,7 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text", name: str = "
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
     model = fit(docs, labels, key, text, label)
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    named = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = score_texts(named, model)
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 

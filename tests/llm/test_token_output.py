@@ -58,3 +58,26 @@ def test_files(spark):
         for k, ids in m.read_shard(f"{folder}/shard-{r.shard:05d}", ranks):
             got[k] = ids.tolist()
     assert got == {k: [*t.encode(x or "", add_special_tokens=False).ids, 1] for k, x in enumerate(TEXTS)}
+
+
+def thue_morse(n):
+    w = "a"
+    while len(w) < n:
+        w += w.translate({97: "b", 98: "a"})
+    return w
+
+
+def test_words_of_one_hash_keep_their_ids(spark, monkeypatch):
+    from regionspark.llm import _words as w
+
+    a = thue_morse(1024)
+    texts = [a, a.translate({97: "b", 98: "a"}), f"{a} x", "a", "a\0", "\0" * 8, "abcdefgh", "abcdefg", "abcdefghi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert sorted(map(tuple, m.token_output(df, PATH).collect())) == brute(list(enumerate(texts)))
+    # every long word of one hash: told apart by their bytes
+    monkeypatch.setattr(w, "xxh64", lambda buf, s, e, seed=42: np.full(len(s), 5, np.uint64))
+    words = ["internationally", "extraordinaries", "internationally", "ab", "unquestionable", "incomprehensibly", "extraordinaries"]
+    raw = np.frombuffer(" ".join(words).encode(), np.uint8)
+    s, e, _ = w.word_bounds(raw, np.array([0, len(raw)]))
+    h, first, count, back = w.distinct_words(raw, s, e)
+    assert [words[first[i]] for i in back] == words and sorted(count.tolist()) == [1, 1, 1, 2, 2] and (np.diff(h.astype(float)) >= 0).all()

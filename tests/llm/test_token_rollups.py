@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from regionspark.llm.token_rollups import TokenRollups
 
 COUNT = {"words-1": r"[^\x20\x09-\x0D]+", "pieces-1": r"[A-Za-z]+|[0-9]|[^\x00-\x7F]+|[!-/:-@\[-`{-~]"}
@@ -31,3 +33,27 @@ def test_batches(spark):
     assert rollups.commit("b3", df(one).limit(0)) and totals() == brute(now)
     again = spark.createDataFrame([("revise", 3, "a", "en", "z")], "change string, doc_id long, source string, lang string, text string")
     assert rollups.commit("b4", again, op="change") and totals() == brute([*now[:2], (3, "a", "en", "z"), now[3]])
+
+
+def test_unknown_ops_are_refused(spark):
+    rollups = TokenRollups(spark)
+    rollups.commit("b1", spark.createDataFrame([(1, "a", "en", "x y")], "doc_id long, source string, lang string, text string"))
+    before = rollups.totals().collect()
+    for op in (None, "INSERT", "upsert"):
+        bad = spark.createDataFrame([("insert", 2, "a", "en", "q"), (op, 3, "a", "en", "q")], "op string, doc_id long, source string, lang string, text string")
+        with pytest.raises(Exception, match="insert, delete or revise expected"):
+            rollups.commit("b2", bad, op="op")
+        assert rollups.committed() == ["b1"] and rollups.totals().collect() == before
+    assert rollups.commit("b2", bad.filter("op = 'insert'"), op="op")
+
+
+def test_hot_key_and_null_key(spark):
+    rollups = TokenRollups(spark, buckets=3)
+    rows = [(7, "a", "en", "x y")] * 300 + [(None, "a", "en", "z")] * 3 + [(k, "b", "de", "w") for k in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").repartition(4)
+    rollups.commit("b1", df)
+    log = spark.read.parquet(f"{rollups.folder}/documents/b1")
+    assert log.filter("key = '7'").count() == 3  # one row for each tokenizer, not for each document
+    gone = spark.createDataFrame([("delete", 7, "", "", ""), ("delete", None, "", "", ""), ("delete", 10, "", "", "")], "op string, doc_id long, source string, lang string, text string")
+    rollups.commit("b2", gone, op="op")
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in rollups.totals().collect()} == brute(rows[304:])
