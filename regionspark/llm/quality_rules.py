@@ -3,8 +3,9 @@
 Statistics of each whole text come from one pass over its bytes. From the statistics of labelled
 rows, rules for the rejected class are learned one after another: a conjunction of threshold tests
 grows by FOIL gain on two thirds of the rows, is pruned on the other third, and is kept while it is
-precise there; rows it covers are set aside and the next rule is grown. The list becomes one Spark
-conditional expression, its branches in order.
+precise there; rows it covers are set aside and the next rule is grown. Every threshold between two
+values is tried, a conjunction grows while there is gain, and rules are learned while ``MIN_COVER`` rows
+of the rejected class are left. The list becomes one Spark conditional expression, its branches in order.
 
 The fit uses at most ``MAX_LABELLED`` labelled rows (those of the smallest hash of the id), so the
 driver holds a bounded table; rules then apply to all rows inside Spark.
@@ -157,38 +158,42 @@ class Rule:
         return " and ".join(map(str, self.tests))
 
 
-def _tests(x: dict[str, np.ndarray], rows: np.ndarray, cuts: int = 64) -> list[Test]:
-    out = []
+def best_test(x: dict[str, np.ndarray], bad: np.ndarray, rows: np.ndarray) -> Test | None:
+    """The test of largest FOIL gain on ``rows`` (none: no gain); of equal ones the first by feature, then
+    the lowest threshold, then ``<=``."""
+    p0, n0 = int(bad[rows].sum()), int((~bad[rows]).sum())
+    best, most = None, 1e-9
     for k, v in x.items():
-        values = np.unique(np.quantile(v[rows], np.linspace(0, 1, cuts + 1)))
-        for a, b in zip(values[:-1], values[1:], strict=True):
-            out += [Test(k, True, float((a + b) / 2)), Test(k, False, float((a + b) / 2))]
-    return out
+        order = np.argsort(v[rows], kind="stable")
+        value, own = v[rows][order], bad[rows][order]
+        at = np.flatnonzero(value[1:] > value[:-1])
+        if not len(at):
+            continue
+        below = np.cumsum(own)[at]
+        for above, p, n in ((False, below, at + 1 - below), (True, p0 - below, n0 - (at + 1 - below))):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                gain = np.where(p >= MIN_COVER / 2, p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0))), -1.0)
+            i = int(gain.argmax())
+            if gain[i] > most or (gain[i] == most and best.feature == k and value[at[i]] < best.value):
+                a, b = float(value[at[i]]), float(value[at[i] + 1])
+                mid = a + (b - a) / 2
+                best, most = Test(k, above, mid if a <= mid < b else a), gain[i]
+    return best
 
 
 def _grow(x, bad, rows) -> list[Test]:
     tests, covered = [], rows
-    while True:
-        p0, n0 = bad[covered].sum(), (~bad[covered]).sum()
-        if not n0 or len(tests) == 4:
-            return tests
-        best, gain = None, 1e-9
-        for t in _tests(x, covered):
-            m = t.mask({t.feature: x[t.feature][covered]})
-            p, n = bad[covered][m].sum(), (~bad[covered][m]).sum()
-            if p >= MIN_COVER / 2 and (g := p * (np.log2(p / (p + n)) - np.log2(p0 / (p0 + n0)))) > gain:
-                best, gain = t, g
-        if best is None:
-            return tests
+    while (~bad[covered]).any() and (best := best_test(x, bad, covered)) is not None:
         tests.append(best)
         covered = covered[best.mask({best.feature: x[best.feature][covered]})]
+    return tests
 
 
-def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray, max_rules: int = 24) -> list[Rule]:
+def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, fold: np.ndarray) -> list[Rule]:
     """Ordered rules for ``bad`` rows; fold 0 of ``fold`` is kept for pruning."""
     grow, prune = np.flatnonzero(fold != 0), np.flatnonzero(fold == 0)
     rules: list[Rule] = []
-    while len(rules) < max_rules and bad[grow].sum() >= MIN_COVER:
+    while bad[grow].sum() >= MIN_COVER:
         tests = _grow(x, bad, grow)
         if not tests:
             break

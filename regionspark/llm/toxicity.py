@@ -14,9 +14,10 @@ a score. Function words of the grammar are stated here for four languages. Insul
 and word beginnings that are significantly more frequent in documents labelled toxic (G-test, with a
 threshold that rises with the number of candidates), weighted by their log likelihood ratio.
 
-Bounds: the fit uses at most ``MAX_LABELLED`` labelled rows (those of the smallest hash of doc_id) and
-keeps at most ``MAX_CANDIDATES`` candidates and ``MAX_LEXICON`` terms; copies among the labelled rows,
-found by their least shingle hash, count once. Every text is scored whole.
+Bounds: the fit uses at most ``MAX_LABELLED`` labelled rows (those of the smallest hash of doc_id);
+copies among them, found by their least shingle hash, count once, by the text of the smallest hash. All
+terms of these rows are candidates, and all significant ones are kept. Every text is scored whole.
+The weights of the transducers are stated, not learned. The same rows give the same model.
 
 Defined cases: null and empty texts score like texts without matches; rows with a null label or
 doc_id take no part in the fit; repeated rows give a row each; without labels of both classes, the
@@ -26,7 +27,6 @@ stated seed terms alone decide; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -38,8 +38,6 @@ from regionspark.llm._shared import settle, whole_id
 from regionspark.llm._words import U64, mix, slices, text_bytes, word_bounds, word_hashes
 
 MAX_LABELLED = 20_000
-MAX_CANDIDATES = 200_000
-MAX_LEXICON = 20_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7, 8)
 
@@ -228,20 +226,17 @@ def _terms_of(column) -> list[np.ndarray]:
     return np.split(keys[first], np.searchsorted(docs[first], np.arange(1, len(n)))) if len(n) else []
 
 
-def _count_terms(known: np.ndarray | None):
-    """Documents that hold each term, per slice; only those of ``known``, if given."""
-
-    def run(batches):
-        for b in slices(batches, "text"):
-            each = _terms_of(b["text"])
-            h, n = np.unique(np.concatenate(each), return_counts=True) if each else (np.zeros(0, U64), np.zeros(0, np.int64))
-            if known is not None:
-                ok = np.isin(h, known)
-                h, n = h[ok], n[ok]
-            for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[at : at + 100_000].view(np.int64)), pa.array(n[at : at + 100_000], pa.int64())], ["term", "n"])
-
-    return run
+def _count_terms(batches):
+    """Toxic and clean documents that hold each term, per slice."""
+    for b in slices(batches, "text"):
+        each = _terms_of(b["text"])
+        label = b["label"].to_numpy()
+        h, back = np.unique(np.concatenate(each), return_inverse=True)
+        toxic = np.bincount(back, np.repeat(label, [len(x) for x in each]), len(h)).astype(np.int64)
+        n = np.bincount(back, minlength=len(h))
+        for at in range(0, len(h), 100_000):
+            s = slice(at, at + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(toxic[s]), pa.array(n[s] - toxic[s])], ["term", "t", "c"])
 
 
 def _sketch(batches):
@@ -262,10 +257,12 @@ def held_out(key: Column) -> Column:
     return (F.crc32(key.cast("string")) % 4) == 2
 
 
-def _g2(t, n_t, c, n_c):
+def _g2(n_t: int, n_c: int) -> Column:
+    """G statistic of the table of documents with and without a term, by label."""
+    t, c = F.col("t").cast("double"), F.col("c").cast("double")
     p = (t + c) / (n_t + n_c)
     parts = ((t, n_t * p), (c, n_c * p), (n_t - t, n_t * (1 - p)), (n_c - c, n_c * (1 - p)))
-    return 2 * sum(o * math.log(o / e) for o, e in parts if o > 0 and e > 0)
+    return 2 * sum((F.when((o > 0) & (e > 0), o * F.ln(o / e)).otherwise(F.lit(0.0)) for o, e in parts), F.lit(0.0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
@@ -274,33 +271,28 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     named = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = named.join(F.broadcast(known), "doc_id").select("label", "text")  # at most max_labelled rows of 12 bytes are sent
-    rows = settle(rows.mapInArrow(_sketch, "label int, sketch long, text string").dropDuplicates(["label", "sketch"]), "toxic-fit")
+    rows = rows.mapInArrow(_sketch, "label int, sketch long, text string")
+    rows = settle(rows.groupBy("label", "sketch").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "toxic-fit")
     sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n_t, n_c = sizes.get(1, 0), sizes.get(0, 0)
     seeds, threats = np.union1d(_seed_hashes(INSULT), _seed_hashes(THREAT)), _seed_hashes(THREAT)
-    count = lambda which, among: rows.filter(F.col("label") == which).select("text").mapInArrow(_count_terms(among), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    toxic = count(1, None).filter("n >= 3").orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).toArrow()
-    t_of = dict(zip(toxic["term"].to_numpy().view(U64).tolist(), toxic["n"].to_pylist(), strict=True))
-    among = np.union1d(np.fromiter(t_of, U64, len(t_of)), seeds)
-    clean = count(0, among).toArrow()
-    c_of = dict(zip(clean["term"].to_numpy().view(U64).tolist(), clean["n"].to_pylist(), strict=True))
-    least = 2 * math.log(max(2, len(t_of))) + 6
+    counted = settle(rows.select("label", "text").mapInArrow(_count_terms, "term long, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).filter("t > 0"), "toxic-terms")
     found: dict[int, float] = {}
     if n_t and n_c:
-        for term, t in t_of.items():
-            c = c_of.get(term, 0)
-            ratio = math.log((t + 0.5) / (n_t + 1)) - math.log((c + 0.5) / (n_c + 1))
-            if ratio > 2 and _g2(t, n_t, c, n_c) >= least:
-                found[term] = ratio
+        least = 2 * math.log(max(2, counted.count())) + 6
+        ratio = F.ln((F.col("t") + 0.5) / (n_t + 1)) - F.ln((F.col("c") + 0.5) / (n_c + 1))
+        got = counted.filter((ratio > 2) & (_g2(n_t, n_c) >= least)).select("term", ratio.alias("ratio")).toArrow()  # significant terms of max_labelled texts
+        found = dict(zip(got["term"].to_numpy().view(U64).tolist(), got["ratio"].to_pylist(), strict=True))
+    of_seed = {r.term % 2**64: (r.t, r.c) for r in counted.filter(F.col("term").isin(seeds.view(np.int64).tolist())).collect()}
     for term in seeds.tolist():
-        t, c = t_of.get(term, 0) + SEED_EVIDENCE[0], c_of.get(term, 0) + SEED_EVIDENCE[1]
+        t, c = of_seed.get(term, (0, 0))
+        t, c = t + SEED_EVIDENCE[0], c + SEED_EVIDENCE[1]
         ratio = math.log(t / (n_t + 10)) - math.log(c / (n_c + 10))
         if ratio > 1:
             found[term] = max(found.get(term, 0.0), min(ratio, 6.0))
-    best = Counter(found).most_common(MAX_LEXICON)
-    terms = np.array([k for k, _ in best], U64)
+    terms = np.fromiter(found, U64, len(found))
     order = np.argsort(terms)
-    model = Model(terms[order], np.array([v for _, v in best], float)[order], PREFIXES, threats, {k: _seed_hashes(k) for k in (TARGET, NEGATION, REPORT)})
+    model = Model(terms[order], np.fromiter(found.values(), float, len(found))[order], PREFIXES, threats, {k: _seed_hashes(k) for k in (TARGET, NEGATION, REPORT)})
     if n_t and n_c:
         sent = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -310,6 +302,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 yield pa.RecordBatch.from_arrays([b["label"], *(pa.array(x[:, i]) for i in range(4))], ["label", "a", "b", "c", "d"])
 
         got = rows.mapInArrow(features, "label int, a double, b double, c double, d double").toArrow()  # max_labelled rows at most
+        got = got.sort_by([(k, "ascending") for k in got.column_names])
         x = np.stack([got[k].to_numpy() for k in "abcd"], 1)
         model.curve = _fit_curve(x, got["label"].to_numpy().astype(float))
     return model

@@ -57,3 +57,42 @@ def test_judge(spark):
         assert r.kept == (not r.base_failed and (r.doc_id % 4 != 0))
     assert all(r.kept for r in m.judge(docs, lab.limit(0)).collect() if not r.base_failed)
     assert m.judge(docs.limit(0), lab).collect() == []
+
+
+def test_best_test_against_all_tests():
+    rng = np.random.default_rng(11)
+    for trial in range(30):
+        n = 60
+        x = {k: rng.integers(0, 8, n) / 4 if trial % 2 else rng.random(n) for k in list(m.RATIOS)[:4]}
+        bad = rng.random(n) < (0.2 + 0.6 * (x["words"] > np.median(x["words"])))
+        rows = np.flatnonzero(rng.random(n) < 0.8)
+        p0, n0 = bad[rows].sum(), (~bad[rows]).sum()
+        best = 0.0
+        for k, v in x.items():
+            for cut in np.unique(v[rows])[:-1]:
+                for mask in (v[rows] <= cut, v[rows] > cut):
+                    p, q = (bad[rows] & mask).sum(), (~bad[rows] & mask).sum()
+                    if p >= m.MIN_COVER / 2:
+                        best = max(best, p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0))))
+        t = m.best_test(x, bad, rows)
+        mask = t.mask({t.feature: x[t.feature][rows]})
+        p, q = (bad[rows] & mask).sum(), (~bad[rows] & mask).sum()
+        assert np.isclose(p * (np.log2(p / (p + q)) - np.log2(p0 / (p0 + n0))), best)
+
+
+def test_rules_end_with_what_they_cover():
+    """The list as sequential covering makes it: each rule's counts are of rows no earlier rule covers."""
+    rng = np.random.default_rng(4)
+    n = 900
+    x = {k: rng.random(n) for k in m.RATIOS}
+    cuts = np.linspace(0, 1, 41)
+    bad = np.isin(np.digitize(x["words"], cuts), np.arange(0, 41, 2))  # twenty bands: more rules than a fixed few
+    rules = m.learn_rules(x, bad, np.arange(n) % 3)
+    free = np.ones(n, bool)
+    for r in rules:
+        hit = r.mask(x) & free
+        assert r.rejected >= m.MIN_COVER and r.rejected / (r.rejected + r.wrongly) >= m.MIN_PRECISION
+        assert (bad & hit).sum() >= r.rejected and len(r.tests) >= 1
+        free &= ~hit
+    got = np.logical_or.reduce([r.mask(x) for r in rules])
+    assert len(rules) > 3 and (got & ~bad).sum() <= 0.1 * got.sum()
