@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle
+from regionspark.llm._shared import settle, skew_join
 
 
 def _stats(df: DataFrame):
@@ -25,15 +25,17 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     while before[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: larger neighbours go to the smallest of a node's neighbours and itself
-        low = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        # (a hub's links are many: its smallest neighbour is sent to them where they lie)
+        low = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
         large = (
-            both.filter("v > u").join(low, "u", "left")
-            .select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+            skew_join(both.filter("v > u"), low.select("u", F.least("u", "m").alias("m"), "n"), "u", "n", "left")
+            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         # small star: smaller neighbours and the node itself go to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = settle(large, "links")
+        low = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "low")
         small = (
-            large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
+            skew_join(large, low, "u", "n").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x"))
             .select("x.*").filter("u <> v").distinct()
         )
         pairs = settle(small, "links")

@@ -19,11 +19,10 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, settle
+from regionspark.llm._shared import BROADCAST_ROWS, _fs, new_dir, settle, skew_join
 
 RULE_VERSION = "2024-1"
 BASE = ("assign", "access", "hex")
@@ -41,6 +40,7 @@ RULES: dict[str, tuple[str, int, int]] = {  # pattern, group that is measured, l
 #: A text without any of a rule's anchors can't match it. Lower case where the rule ignores case.
 _ANCHORS = {"access": "AKIA", "jwt": "eyJ", "pem": "-----BEGIN", "github": "gh", "slack": "xox", "url": "://"}
 _FINDINGS = "array<struct<kind:string,start:bigint,end:bigint>>"
+_FOUND = f"blob string, findings {_FINDINGS}"
 
 
 def find_secrets(text: str) -> list[tuple[str, int, int]]:
@@ -75,10 +75,12 @@ class BlobLedger:
         self.spark, self.folder = spark, folder or new_dir(spark, "ledger")
 
     def read(self, rule_version: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.folder}/rule_version={rule_version}/*")
-        except AnalysisException:  # nothing was scanned with these rules yet
-            return None
+        """Findings by blob; None if nothing was scanned with these rules yet."""
+        from pyarrow.fs import FileSelector
+
+        fs, path = _fs(f"{self.folder}/rule_version={rule_version}")
+        done = [f.base_name for f in fs.get_file_info(FileSelector(path, allow_not_found=True)) if fs.get_file_info(f"{f.path}/_SUCCESS").is_file]
+        return self.spark.read.schema(_FOUND).parquet(*(f"{self.folder}/rule_version={rule_version}/{b}" for b in sorted(done))) if done else None
 
     def scan(self, versions: DataFrame, keys: list[str], text: str, rule_version: str = RULE_VERSION) -> DataFrame:
         """Scan what is unseen; returns keys, blob and findings of every row of ``versions``."""
@@ -87,19 +89,22 @@ class BlobLedger:
         names = [f"k{i}" for i in range(len(keys))]
         manifest = settle(named.select(*names, F.sha2(F.encode("text", "utf-8"), 256).alias("blob")), "manifest")
         known = self.read(rule_version)
-        first = manifest.groupBy("blob").agg(F.min(F.struct(*names)).alias("first"))
-        if known is not None:
-            first = first.join(known.select("blob"), "blob", "left_anti")
-        unseen = first.select("blob", *(F.col(f"first.{n}").alias(f"f{i}") for i, n in enumerate(names)))
-        # the text of one path for each unseen blob; a path may hold several texts, so the blob is compared too
+        blobs = settle(manifest.groupBy("blob").agg(F.min(F.struct(*names)).alias("first"), F.count(F.lit(1)).alias("paths")), "blobs")
+        unseen = blobs if known is None else blobs.join(known.select("blob"), "blob", "left_anti")
+        unseen = settle(unseen.select("blob", *(F.col(f"first.{n}").alias(f"f{i}") for i, n in enumerate(names))), "unseen")
+        # the text of one path for each unseen blob; a path may hold several texts, so the blob is compared
+        # too. Few unseen blobs are broadcast: then the texts that are known stay where they are
         on = [F.col(f"k{i}").eqNullSafe(F.col(f"f{i}")) for i in range(len(keys))]
-        hinted = unseen.hint("shuffle_hash")
+        hinted = F.broadcast(unseen) if unseen.count() <= BROADCAST_ROWS else unseen.hint("shuffle_hash")
         texts = named.join(hinted, on).filter(F.sha2(F.encode("text", "utf-8"), 256) == F.col("blob")).select("blob", "text")
-        found = texts.mapInArrow(_scan, f"blob string, findings {_FINDINGS}")
+        found = texts.mapInArrow(_scan, _FOUND)
         batch = hashlib.sha256(f"{new_dir(self.spark, 'batch')}".encode()).hexdigest()[:16]
         found.write.parquet(f"{self.folder}/rule_version={rule_version}/batch={batch}")
         findings = self.read(rule_version).groupBy("blob").agg(F.first("findings").alias("findings"))
-        return manifest.join(findings, "blob", "left").select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "blob", F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings"))
+        # most blobs have no findings; of those that have, the ones of very many paths are joined apart
+        findings = settle(findings.filter(F.size("findings") > 0).join(blobs.select("blob", "paths"), "blob"), "findings")
+        joined = skew_join(manifest, findings, "blob", "paths", "left")
+        return joined.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), "blob", F.coalesce("findings", F.array().cast(_FINDINGS)).alias("findings"))
 
 
 def _joined(spans):

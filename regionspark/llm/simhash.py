@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle, shuffle_parts, whole_id
+from regionspark.llm._shared import settle, shuffle_parts, skew_join, whole_id
 from regionspark.llm._words import LOWER, U64, mix, slices, spaced, text_bytes, word_bounds, xxh64
 from regionspark.llm.components import components
 
@@ -249,12 +249,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes may have the same smallest one."""
     named = docs.select(whole_id(docs, key).alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
     fp = settle(named.mapInArrow(_fingerprint_batches("text", shingle), "doc_id long, h long, fp long"), "fingerprints")
-    per = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    per = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprint-classes")
     roots = components(fingerprint_links(per, max_bits))
-    joined = per.join(roots, per.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    whole = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(whole, "root").select("fp", "root", "component_id")
-    return fp.join(of, "fp").select("doc_id", "h", "fp", "root", "component_id")
+    joined = settle(per.join(roots, per.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    whole = settle(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "fingerprint-components")
+    of = settle(skew_join(joined, whole, "root", "members").select("fp", "root", "component_id", "rows"), "fingerprint-class")
+    return skew_join(fp, of, "fp", "rows").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def text_hash(text: Column) -> Column:
