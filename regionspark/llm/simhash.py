@@ -272,11 +272,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
 
 def keep_rows(docs: DataFrame, keep: DataFrame, key: str, text: str) -> DataFrame:
     """One row, all columns, for each (_kept_id, _kept_h) of ``keep``."""
-    rows = docs.withColumn("_own_h", text_hash(F.col(text)))
-    rows = rows.join(keep, F.col(key).cast("long").eqNullSafe(F.col("_kept_id")) & (F.col("_own_h") == F.col("_kept_h")))
+    on = ["_kept_null", "_kept_of", "_kept_h"]  # plain columns: the window needs no shuffle of its own
+    parts = lambda c: [c.isNull().alias("_kept_null"), F.coalesce(c, F.lit(0)).alias("_kept_of")]
+    rows = docs.select("*", *parts(F.col(key).cast("long")), text_hash(F.col(text)).alias("_kept_h"))
+    rows = rows.join(keep.select(*parts(F.col("_kept_id")), "_kept_h"), on)
     # equal id and text, perhaps other columns: the smallest hash of the row stays
-    rank = F.row_number().over(Window.partitionBy("_kept_id", "_kept_h").orderBy(F.xxhash64(*docs.columns)))
-    return rows.withColumn("_rank", rank).filter("_rank = 1").select(*docs.columns)
+    rank = F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64(*docs.columns)))
+    return rows.withColumn("_kept_rank", rank).filter("_kept_rank = 1").select(*docs.columns)
 
 
 def digest(near: DataFrame) -> DataFrame:
