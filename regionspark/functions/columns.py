@@ -11,6 +11,12 @@ def ratio(top: Column, bottom: Column, empty=None) -> Column:
     return F.when(bottom != 0, top / bottom).otherwise(F.lit(empty).cast("double"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over rows that have both; null where one doesn't vary (corr raises then under ANSI)."""
+    own = lambda a, b: F.when(b.isNotNull(), a)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(own(x, y)) * F.stddev_pop(own(y, x)))
+
+
 def range_name(chrom="chrom", start="start", end="end", sep=("-", "-")) -> Column:
     """chrom-start-end."""
     return F.concat(F.col(chrom), F.lit(sep[0]), F.col(start).cast("string"), F.lit(sep[1]), F.col(end).cast("string"))

@@ -5,12 +5,16 @@ table, so that zeros count."""
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regionspark.functions.columns import range_name
+from regionspark.functions.lineage import cut
 from regionspark.operators import quantify, ranges
+from regionspark.operators.running import with_ranks
 
 
 @dataclass(frozen=True)
@@ -134,11 +138,9 @@ def cell_stats(cells: DataFrame, counts: DataFrame) -> DataFrame:
 
 def feature_stats(features: DataFrame, counts: DataFrame) -> DataFrame:
     """count and percentile (ecdf) of every feature."""
-    from regionspark.functions.columns import ecdf
-
     got = counts.groupBy("feature_id").agg(F.sum("value").alias("_c"))
     out = features.join(got, "feature_id", "left").select(*features.columns, F.coalesce("_c", F.lit(0)).alias("count"))
-    return out.withColumn("percentile", ecdf(F.col("count")))
+    return with_ranks(cut(out), F.col("count"), ecdf="percentile")
 
 
 def create_filters(counts: DataFrame, min_features: int = 0, min_cells: int = 0, max_cells: int | str | None = None) -> DataFrame:
@@ -155,7 +157,10 @@ def create_filters(counts: DataFrame, min_features: int = 0, min_cells: int = 0,
     return rows.join(seen, "feature_id", "left_semi")
 
 
-def create_assay(counts: DataFrame, features: DataFrame, min_features: int = 0, min_cells: int = 0, max_cells=None, **slots) -> Assay:
+def create_assay(counts: DataFrame, features: DataFrame, min_features: int = 0, min_cells: int = 0, max_cells=None, check_disjoint: bool = False, **slots) -> Assay:
+    """An assay of the counts that the creation filters leave. check_disjoint: warn of overlapping features."""
+    if check_disjoint and not ranges.is_disjoint(features).first()[0]:
+        warnings.warn("the features overlap each other", stacklevel=2)
     rows = create_filters(counts, min_features, min_cells, max_cells)
     cells = cell_stats(rows.select("cell_id").distinct(), rows)
     kept = features.join(rows.select("feature_id").distinct(), "feature_id", "left_semi")
@@ -238,9 +243,11 @@ def fold_change(counts: DataFrame, cells: DataFrame, features: DataFrame, base:
 
 
 def merge(assays: list[Assay]) -> Assay:
-    """Bind cells; features that overlap across assays are reduced to one range and their rows summed.
-    Equal cell names get the prefix of their assay's number. Annotation and seqinfo come from the
-    first; motifs, bias, links and pileups are dropped. Genomes must be equal."""
+    """Bind cells. Features are known by their place. Where all assays have the same ones, or those that
+    not all have are disjoint, rows are bound as they are; else features that overlap across
+    assays are reduced to one range and their rows summed. Equal cell names get the prefix of their
+    assay's number. Annotation and seqinfo come from the first; motifs, bias, links and pileups are
+    dropped. Genomes must be equal."""
     genomes = [a.seqinfo.select("genome").distinct().orderBy("genome").collect() if a.seqinfo is not None and "genome" in a.seqinfo.columns else None for a in assays]
     if len({str(g) for g in genomes if g}) > 1:
         raise ValueError("the assays have different genomes")
@@ -248,14 +255,20 @@ def merge(assays: list[Assay]) -> Assay:
     clash = any(ids[i].join(ids[j], "cell_id", "left_semi").limit(1).count() for i in range(len(ids)) for j in range(i))
     if clash:
         assays = [a.rename_cells(a.cells.select("cell_id", F.concat(F.lit(f"{i + 1}_"), "cell_id").alias("new_id"))) for i, a in enumerate(assays)]
+    place = ["chrom", "start", "end"]
     feature, count, cell = None, None, None
     for i, a in enumerate(assays):
         key = F.struct(F.lit(i).alias("assay"), F.col("feature_id").cast("string").alias("id"))
-        f, c = a.features.select(key.alias("feature_id"), "chrom", "start", "end"), a.counts.select(key.alias("feature_id"), "cell_id", F.col("value").cast("double").alias("value"))
+        f, c = a.features.select(key.alias("feature_id"), *place), a.counts.select(key.alias("feature_id"), "cell_id", F.col("value").cast("double").alias("value"))
         feature = f if feature is None else feature.unionByName(f)
         count = c if count is None else count.unionByName(c)
         cell = a.cells.select("cell_id") if cell is None else cell.unionByName(a.cells.select("cell_id"))
-    merged = quantify.merge_overlapping(count, feature)
-    reduced = ranges.reduce(feature).withColumn("feature_id", F.concat_ws("-", "chrom", F.col("start").cast("string"), F.col("end").cast("string")))
-    counts = merged.select(F.concat_ws("-", "chrom", F.col("start").cast("string"), F.col("end").cast("string")).alias("feature_id"), "cell_id", "value")
-    return Assay(feature_stats(reduced.select("feature_id", "chrom", "start", "end"), counts), cell_stats(cell, counts), counts, fragments=tuple(f for a in assays for f in a.fragments), cellmaps=tuple(c for a in assays for c in a.cellmaps), annotation=assays[0].annotation, seqinfo=assays[0].seqinfo)
+    places = cut(feature.select(*place, F.col("feature_id.assay").alias("assay")).distinct().groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    different = places.filter(F.col("n") < len(assays)).drop("n")
+    if different.isEmpty() or ranges.is_disjoint(different).first()[0]:
+        features = places.select(range_name().alias("feature_id"), *place)
+        counts = count.join(feature.select("feature_id", range_name().alias("place")), "feature_id").groupBy(F.col("place").alias("feature_id"), "cell_id").agg(F.sum("value").alias("value"))
+    else:
+        features = ranges.reduce(feature).select(range_name().alias("feature_id"), *place)
+        counts = quantify.merge_overlapping(count, feature).select(range_name().alias("feature_id"), "cell_id", "value")
+    return Assay(feature_stats(features, counts), cell_stats(cell, counts), counts, fragments=tuple(f for a in assays for f in a.fragments), cellmaps=tuple(c for a in assays for c in a.cellmaps), annotation=assays[0].annotation, seqinfo=assays[0].seqinfo)

@@ -93,6 +93,19 @@ def expected_insertions(sequences: DataFrame, bias: DataFrame, flank: int = 50)
     return x.crossJoin(F.broadcast(mean)).select("offset", ratio(F.col("_e"), F.col("_m")).alias("expected"))  # one row
 
 
+def run_footprint(fragments: DataFrame, sites: DataFrame, groups: DataFrame, sequences: DataFrame | None = None, bias: DataFrame | None = None, upstream: int = 250, downstream: int = 250, within: DataFrame | None = None, flank: int = 50, bin_size: int = ranges.BIN) -> DataFrame:
+    """Footprint of a set of sites (region_id, chrom, start, end, strand): those inside the regions of
+    ``within``, resized to their centre and extended, piled up by group and set over their flanks. With the sequences
+    of the extended sites (feature_id, sequence, three bases before and two after) and a hexamer bias, also
+    what is expected. groups: cell_id, barcode, grp."""
+    own = sites if within is None else ranges.subset_by_overlaps(sites.withColumn("id", F.col("region_id")), within, bin_size=bin_size)
+    wide = ranges.extend(ranges.resize_center(own), upstream, downstream)
+    width = upstream + downstream + 1
+    pile = pileup(cut_matrix(fragments, wide.select("region_id", "chrom", "start", "end", "strand"), groups.select("cell_id", "barcode"), bin_size=bin_size))
+    pile = pile.withColumn("position", (F.col("position") + F.bround(F.lit(width) / 2)).cast("long"))
+    return footprint_data(pile, groups, width, None if sequences is None else expected_insertions(sequences, bias, flank), flank)
+
+
 def footprint_data(pile: DataFrame, groups: DataFrame, width: int, expected: DataFrame | None = None, flank: int = 50) -> DataFrame:
     """Per group and position: mean over cells, over the mean of the flank (first ``flank`` and last
     ``flank + 1`` positions of the whole block); with expected, also the ratio's counterpart column.

@@ -107,6 +107,17 @@ def create_motifs(hits: DataFrame, pwm: DataFrame | None = None, names: DataFram
     return Motifs(hits.select("feature_id", "motif_id").distinct(), pwm, names, positions)
 
 
+def add_motifs(sequences: DataFrame, pfm: DataFrame, names: DataFrame | None = None, pvalue: float = 5e-5):
+    """All that is added with motifs: the slots (hits, log odds, names, positions) and the features'
+    region statistics. sequences: feature_id, sequence; pfm: motif_id, pos, base, n."""
+    from regionspark.functions.lineage import cut
+    from regionspark.operators.qc import region_stats
+
+    pwm = pfm_to_pwm(pfm)
+    found = cut(scan(sequences, pwm, pvalue))
+    return create_motifs(found, pwm, names, found), region_stats(sequences)
+
+
 def information_content(pfm: DataFrame) -> DataFrame:
     """What a motif logo is drawn from: (motif_id, pos, base, p, height)."""
     t = pfm.groupBy("motif_id", "pos").agg(F.sum("n").alias("_t"))

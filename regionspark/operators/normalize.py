@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.functions.columns import average_rank, ecdf, ratio
+from regionspark.functions.columns import ratio
+from regionspark.functions.lineage import cut
+from regionspark.operators.running import with_ranks
 
 
 def tfidf(counts: DataFrame, n_cells: int | None = None, method: int = 1, scale: float = 1e4, idf: DataFrame | None = None) -> DataFrame:
@@ -38,7 +40,7 @@ def top_features(features: DataFrame, counts: DataFrame, cutoff: int | str | Non
     counts above it; ``qNN``, percentiles above NN per cent."""
     total = counts.groupBy("feature_id").agg(F.sum("value").alias("_c"))
     out = features.select("feature_id").join(total, "feature_id", "left").select("feature_id", F.coalesce("_c", F.lit(0)).alias("count"))
-    out = out.withColumn("percentile", ecdf(F.col("count")))
+    out = with_ranks(cut(out), F.col("count"), ecdf="percentile")
     if cutoff is None:
         return out.withColumn("variable", F.lit(True))
     test = F.col("percentile") > int(cutoff[1:]) / 100 if isinstance(cutoff, str) else F.col("count") > cutoff
@@ -62,7 +64,7 @@ def pearson_residual_variance(features: DataFrame, counts: DataFrame, n_cells: i
 
 def rank_by_residual_variance(variance: DataFrame, min_counts: float = 10, n: int = 20_000) -> DataFrame:
     """The n most variable features among those of more than min_counts, with average ranks."""
-    ok = variance.filter(F.col("count") > min_counts).withColumn("rank", average_rank(-F.col("residual_variance")))
+    ok = with_ranks(cut(variance.filter(F.col("count") > min_counts)), -F.col("residual_variance"), rank="rank")
     return ok.orderBy("rank", "feature_id").limit(n)
 
 
@@ -111,5 +113,6 @@ def mean_variance(features: DataFrame, counts: DataFrame, n_cells: int, bins: in
     t = (F.col("log_mean") - lo) / step - i
     fitted = F.element_at(y, i + 1) * (1 - t) + F.element_at(y, i + 2) * t
     ok = used.withColumn("residual", F.col("log_variance") - fitted)
-    ok = ok.withColumn("rank", weight_mean * average_rank(-F.col("mean")) + (1 - weight_mean) * average_rank(-F.col("residual")))
+    ok = with_ranks(with_ranks(cut(ok), -F.col("mean"), rank="_by_mean"), -F.col("residual"), rank="_by_residual")
+    ok = ok.withColumn("rank", weight_mean * F.col("_by_mean") + (1 - weight_mean) * F.col("_by_residual"))
     return x.join(ok.select("feature_id", "residual", "rank"), "feature_id", "left")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.functions.columns import ecdf, ratio
+from regionspark.functions.columns import correlation, ratio
+from regionspark.functions.lineage import cut
 from regionspark.operators import quantify, ranges
+from regionspark.operators.running import with_ranks
 
 MITO = ("chrM", "Mt", "MT")
 DINUCLEOTIDES = [a + b for a in "ACGT" for b in "ACGT"]
@@ -27,8 +29,18 @@ def nucleosome_signal(fragments: DataFrame, cells: DataFrame | None = None) -> D
     """mononucleosomal / nucleosome-free and its rounded ecdf; no nucleosome-free fragments give null,
     and no percentile."""
     n = count_fragments(fragments, cells).withColumn("signal", ratio(F.col("mononucleosomal"), F.col("nucleosome_free")))
-    rank = F.cume_dist().over(Window.partitionBy(F.col("signal").isNull()).orderBy("signal"))
-    return n.select("barcode", "signal", F.when(F.col("signal").isNotNull(), F.bround(rank, 2)).alias("percentile"))
+    n = cut(n.select("barcode", "signal"))
+    ranked = with_ranks(n.filter("signal is not null"), F.col("signal"), ecdf="percentile").withColumn("percentile", F.bround("percentile", 2))
+    return ranked.unionByName(n.filter("signal is null").withColumn("percentile", F.lit(None).cast("double")))
+
+
+def cell_quality(fragments: DataFrame, tss: DataFrame, cells: DataFrame | None = None, bin_size: int = ranges.BIN) -> DataFrame:
+    """One row for each cell: fragment counts, nucleosome signal and TSS enrichment with their percentiles."""
+    rows = count_fragments(fragments, cells)
+    signal = nucleosome_signal(fragments, cells).select("barcode", F.col("signal").alias("nucleosome_signal"), F.col("percentile").alias("nucleosome_percentile"))
+    named = (cells if cells is not None else fragments.select("barcode").distinct()).select(F.col("barcode").alias("cell_id"), "barcode")
+    enrichment = tss_enrichment(fragments, tss, named, bin_size=bin_size).select(F.col("cell_id").alias("barcode"), "tss_enrichment", F.col("percentile").alias("tss_percentile"))
+    return rows.join(signal, "barcode").join(enrichment, "barcode", "left")
 
 
 def cut_sites(fragments: DataFrame) -> DataFrame:
@@ -52,7 +64,8 @@ def tss_enrichment(fragments: DataFrame, tss: DataFrame, cells: DataFrame | None
     norm = F.when(F.col("flank") > 0, F.col("flank") / 200).otherwise(F.col("_mean"))
     out = every.crossJoin(F.broadcast(mean))  # one row
     score = F.coalesce(ratio(F.col("center"), norm), F.lit(0.0)) / 1001
-    return out.select("cell_id", "center", "flank", score.alias("tss_enrichment")).withColumn("percentile", F.bround(ecdf(F.col("tss_enrichment")), 2))
+    scored = cut(out.select("cell_id", "center", "flank", score.alias("tss_enrichment")))
+    return with_ranks(scored, F.col("tss_enrichment"), ecdf="percentile").withColumn("percentile", F.bround("percentile", 2))
 
 
 def tss_pileup(fragments: DataFrame, tss: DataFrame, cells: DataFrame | None = None, upstream: int = 1000, downstream: int = 1000, bin_size: int = ranges.BIN) -> DataFrame:
@@ -92,7 +105,7 @@ def region_stats(sequences: DataFrame) -> DataFrame:
 def depth_correlation(embeddings: DataFrame, cells: DataFrame, n: int) -> DataFrame:
     """Pearson correlation of each component (embedding array) with n_count."""
     x = embeddings.join(cells.select("cell_id", "n_count"), "cell_id").select("n_count", F.posexplode("embedding").alias("component", "x"))
-    return x.filter(F.col("component") < n).groupBy((F.col("component") + 1).alias("component")).agg(F.corr("x", "n_count").alias("correlation"))
+    return x.filter(F.col("component") < n).groupBy((F.col("component") + 1).alias("component")).agg(correlation(F.col("x"), F.col("n_count")).alias("correlation"))
 
 
 def fragment_histogram(fragments: DataFrame, groups: DataFrame | None = None, bins: int = 200, lo: int = 0, hi: int = 800) -> DataFrame:
@@ -103,9 +116,9 @@ def fragment_histogram(fragments: DataFrame, groups: DataFrame | None = None, bi
     return rows.groupBy("grp", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def density_scatter(points: DataFrame, grid: int = 200, bandwidth: float = 1.0) -> DataFrame:
+def density_scatter(points: DataFrame, grid: int = 1000, bandwidth: float = 1.0) -> DataFrame:
     """Gaussian kernel density of each (x, y) on a grid, from counts by grid cell: the table that meets
-    in one task has grid^2 rows at most. Also the integer quantile of x and of y."""
+    in one task has grid^2 rows at most."""
     import numpy as np
 
     b = points.agg(*(f(c).cast("double").alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in "xy")).first()

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from regionspark.functions.columns import average_rank, seeded
+from regionspark.functions.lineage import cut
+from regionspark.operators.running import cumulative
 
 
 def normal_tail(z: Column) -> Column:
@@ -46,14 +48,20 @@ def hypergeometric_tail(q: Column, m: Column, n: Column, k: Column) -> Column:
 
 
 def adjust(df: DataFrame, p: str = "pvalue", out: str = "p_adjust", method: str = "BH") -> DataFrame:
-    """Benjamini-Hochberg (a reverse running minimum), or Bonferroni. One row for each test."""
-    n = F.count(F.lit(1)).over(Window.partitionBy())
+    """Benjamini-Hochberg, or Bonferroni. One row for each test. BH's reverse running minimum goes over ranges
+    of p, with one row for each range that carries the minimum of those above."""
     if method == "bonferroni":
-        return df.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+        n = df.agg(F.count(F.lit(1)).alias("_n"))
+        return df.crossJoin(F.broadcast(n)).withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_n"))).drop("_n")  # one row
     if method != "BH":
         raise ValueError("method is BH or bonferroni")
-    ranked = df.withColumn("_n", n).withColumn("_r", F.rank().over(Window.orderBy(p)) + F.count(F.lit(1)).over(Window.partitionBy(p)) - 1)
-    return ranked.withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_r")).over(Window.orderBy(F.desc("_r")).rangeBetween(Window.unboundedPreceding, 0)))).drop("_n", "_r")
+    df = cut(df)
+    x = cumulative(df, F.col(p)).withColumn("_q", F.col("_v") * F.col("_total") / F.col("_upto"))
+    above = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    carry = x.groupBy("_p").agg(F.min("_q").alias("_m")).select("_p", F.min("_m").over(above).alias("_far"))
+    near = F.min("_q").over(Window.partitionBy("_p").orderBy(F.desc("_v")))
+    x = x.withColumn("_near", near).join(F.broadcast(carry), "_p").select("_v", F.least(F.lit(1.0), "_near", "_far").alias(out))
+    return df.join(x, F.col(p).eqNullSafe(F.col("_v"))).drop("_v")
 
 
 def weighted_sample(df: DataFrame, n: int, weight: str, id_: str, seed: int = 1234) -> DataFrame:

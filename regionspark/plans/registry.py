@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionspark.functions.columns import average_rank, parse_range, seeded
+from regionspark.functions.columns import parse_range, seeded
 from regionspark.operators import assay, enrich, footprint, linalg, links, mito, motifs, normalize, qc, quantify, ranges, stats, tracks
+from regionspark.operators.running import with_ranks
 from regionspark.plans import tables as t
 from regionspark.sources import fragments as files
 from regionspark.sources import genomics
@@ -443,7 +444,9 @@ def fragment_histogram(s, d):
     return qc.fragment_histogram(f, f.select("barcode", (F.col("barcode").cast("long") % 5).alias("grp")).distinct())
 
 
-@query()
+@query("""WITH p AS (SELECT s_suppkey AS cell_id, s_acctbal / 1000 AS x, CAST(s_nationkey AS DOUBLE) AS y FROM supplier), b AS (SELECT min(x) AS x0, min(y) AS y0, (max(x) - min(x)) / 999 AS dx, (max(y) - min(y)) / 999 AS dy FROM p),
+    g AS (SELECT p.*, CAST(floor((x - x0) / dx + 0.5) AS INT) AS i, CAST(floor((y - y0) / dy + 0.5) AS INT) AS j FROM p, b), c AS (SELECT i, j, count(*) AS n FROM g GROUP BY 1, 2)
+    SELECT cell_id, g.x, g.y, round((SELECT sum(n * exp(-0.5 * (((c.i - g.i) * dx) ** 2 + ((c.j - g.j) * dy) ** 2))) FROM c) / (2 * pi() * (SELECT count(*) FROM p)), 6) AS density FROM g, b""")
 def density_scatter(s, d):
     x = t.suppliers(s, d).select("cell_id", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"))
     return r6(qc.density_scatter(x), "density")
@@ -607,7 +610,12 @@ def pair_correlation(s, d):
     return r6(links.pair_correlation(x.join(y, "k").select("feature_id", "gene"), b, g, t.table(s, d, "supplier").count()), "score")
 
 
-@query()
+@query(f"""{_GENE_OF}, k AS (SELECT s_suppkey AS c FROM supplier), br AS (SELECT f, CAST(regexp_extract(f, '([0-9]+)', 1) AS BIGINT) AS n FROM b GROUP BY f HAVING count(*) > 1), gn AS (SELECT 'g' || n_nationkey AS g, n_nationkey AS n FROM nation WHERE 'g' || n_nationkey IN (SELECT g FROM gx GROUP BY g HAVING count(*) > 1)),
+    pr AS (SELECT f, g, br.n AS fn, gn.n AS gn FROM br JOIN gn ON br.n % 3 = gn.n % 3 AND br.n * 1000 <= gn.n * 1000 + 8000 AND br.n * 1000 + 200 >= gn.n * 1000 - 8000), p2 AS (SELECT * FROM pr WHERE g IN (SELECT g FROM pr GROUP BY g HAVING count(*) >= 2)),
+    al AS (SELECT br.f, x.g, corr(coalesce(b.v, 0), coalesce(gx.v, 0)) AS r FROM br CROSS JOIN (SELECT DISTINCT g FROM p2) x CROSS JOIN k LEFT JOIN b ON b.f = br.f AND b.c = k.c LEFT JOIN gx ON gx.g = x.g AND gx.c = k.c GROUP BY 1, 2),
+    sc AS (SELECT p2.*, r FROM p2 JOIN al USING (f, g) WHERE abs(r) > 0), z AS (SELECT sc.f, sc.g, any_value(sc.fn) AS fn, any_value(sc.gn) AS gn, any_value(sc.r) AS r, (any_value(sc.r) - avg(al.r)) / stddev_samp(al.r) AS z FROM sc JOIN br ON br.n % 3 <> sc.fn % 3 JOIN al ON al.f = br.f AND al.g = sc.g GROUP BY 1, 2)
+    SELECT 'c' || (fn % 3) AS chrom, least(gn * 1000, (fn * 2000 + 200) // 2) AS start, greatest(gn * 1000, (fn * 2000 + 200) // 2) AS \"end\", round(r, 6) AS score, g AS gene, f AS peak, round(z, 6) AS zscore,
+    round(0.5 - list_sum(list_transform(generate_series(0, 120), lambda i: (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * i + 1) * ln(abs(z)) - lgamma(i + 1) - i * ln(2.0)) / (2 * i + 1))) / sqrt(2 * pi()), 6) AS pvalue FROM z""")
 def link_peaks(s, d):
     b, g, f, where = link_inputs(s, d)
     out = links.link_peaks(b, g, f, where, t.table(s, d, "supplier").count(), distance=8000, min_cells=1, n_sample=20, pvalue_cutoff=0.9, score_cutoff=0.0, bins=1)
@@ -657,7 +665,8 @@ def enriched_terms(s, d):
     return enrich.enriched_terms(enrich.ranked_genes(m), terms, max_padj=1.1)
 
 
-@query()
+@query(f"""WITH {t.FRAG}, cut AS (SELECT chrom, s AS p FROM frag UNION ALL SELECT chrom, e FROM frag), tl AS (SELECT chrom, p // 3600 AS tile, count(*) AS n FROM cut GROUP BY 1, 2), rt AS (SELECT (SELECT count(*) FROM cut) * 3600 / 13392000.0 AS r),
+    h AS (SELECT *, list_sum(list_transform(generate_series(n, n + 800), lambda k: exp(k * ln(r) - r - lgamma(k + 1)))) AS p FROM tl, rt WHERE n >= 3), hot AS (SELECT chrom, tile * 3600 + 1 AS a, (tile + 1) * 3600 AS b, tile AS id FROM h WHERE n > r AND p * (SELECT count(*) FROM h) < 0.05), {t.islands("hot", "isl")} SELECT chrom, a AS start, b AS \"end\" FROM isl""")
 def call_peaks(s, d):
     return enrich.call_peaks_poisson(t.fragments(s, d), 5 * 2_678_400, 7200, q=0.05)
 
@@ -677,20 +686,18 @@ _VAR = f"""WITH {t.MITO}, ref AS (SELECT p_partkey AS pos, CASE WHEN p_partkey %
     bk AS (SELECT pos, alt, sum(fw + rv) / sum(n) AS bulk FROM y GROUP BY 1, 2), w AS (SELECT y.*, bulk, CASE WHEN n < 3 THEN bulk ELSE (fw + rv) / n END AS af, CASE WHEN n > 0 THEN (fw + rv) / n ELSE 0 END AS raw FROM y JOIN bk USING (pos, alt))"""
 
 
-@query(f"""{_VAR} SELECT pos || ref || '>' || alt AS variant, round(any_value(bulk), 6) AS mean, round(var_samp(af), 6) AS variance, count(CASE WHEN fw >= 2 AND rv >= 2 THEN 1 END) AS n_cells_conf_detected, count(CASE WHEN fw + rv > 0 THEN 1 END) AS n_cells_detected,
+@query(f"""{_VAR} SELECT pos || ref || '>' || alt AS variant, CAST(round(CAST(any_value(bulk) AS DECIMAL(18, 12)), 7) AS DOUBLE) AS mean, CAST(round(CAST(var_samp(af) AS DECIMAL(18, 12)), 7) AS DOUBLE) AS variance, count(CASE WHEN fw >= 2 AND rv >= 2 THEN 1 END) AS n_cells_conf_detected, count(CASE WHEN fw + rv > 0 THEN 1 END) AS n_cells_detected,
     count(CASE WHEN raw > 0.2 THEN 1 END) AS n_cells_over_20, round(avg(n), 6) AS mean_coverage FROM w GROUP BY pos, ref, alt""")
 def identify_variants(s, d):
     out = mito.identify_variants(t.mito(s, d), t.reference(s, d), t.suppliers(s, d), low_coverage=3)
-    return r6(out, "mean", "variance", "mean_coverage").select("variant", "mean", "variance", "n_cells_conf_detected", "n_cells_detected", "n_cells_over_20", "mean_coverage")
-
-
-_FEW = 20  # positions with many reads, so that variants pass
+    return r6(out, "mean_coverage").select("variant", "mean", "variance", "n_cells_conf_detected", "n_cells_detected", "n_cells_over_20", "mean_coverage")
 
 
-@query(f"{_VAR} SELECT pos || ref || '>' || alt AS variant, count(CASE WHEN fw >= 2 AND rv >= 2 THEN 1 END) AS n_cells FROM w GROUP BY pos, ref, alt HAVING count(CASE WHEN fw >= 2 AND rv >= 2 THEN 1 END) >= 2".replace("l_partkey AS pos", f"l_partkey % {_FEW} AS pos").replace("SELECT p_partkey AS pos, CASE WHEN p_partkey % 2", f"SELECT DISTINCT p_partkey % {_FEW} AS pos, CASE WHEN p_partkey % {_FEW} % 2"))
+@query(f"{_VAR} SELECT pos || ref || '>' || alt AS variant, count(CASE WHEN fw >= 2 AND rv >= 2 THEN 1 END) AS n_cells, var_samp(af) / (any_value(bulk) + 1e-11) > 0.01 AND coalesce(nullif(corr(fw, rv) FILTER (fw + rv > 0), 'nan'::DOUBLE), 0) > 0.65 AS high_confidence FROM w GROUP BY pos, ref, alt")
 def variant_filter(s, d):
-    found = mito.identify_variants(t.mito(s, d, _FEW), t.reference(s, d, _FEW), t.suppliers(s, d), low_coverage=3)
-    return mito.high_confidence(found).select("variant", F.col("n_cells_conf_detected").alias("n_cells"))
+    """All positions; no cell of these tables has two reads on each strand, so none is asked for."""
+    found = mito.identify_variants(t.mito(s, d), t.reference(s, d), t.suppliers(s, d), low_coverage=3)
+    return mito.high_confidence(found, min_cells=0).select("variant", F.col("n_cells_conf_detected").alias("n_cells"), "high_confidence")
 
 
 @query()
@@ -758,15 +765,17 @@ def hexamers(s, d):
     return t.sequences(s, d).filter(F.length("sequence") >= 6).select("feature_id", F.posexplode(six).alias("at", "hexamer"))
 
 
-@query(f"{_HEX} SELECT h AS hexamer, round(count(CASE WHEN doc_id % 3 = 0 THEN 1 END) / count(*), 6) AS bias FROM hx GROUP BY h")
+@query(f"{_HEX} SELECT h AS hexamer, round(count(CASE WHEN i % 10 = 1 THEN 1 END) / count(*), 6) AS bias FROM hx GROUP BY h")
 def insertion_bias(s, d):
     h = hexamers(s, d)
-    return r6(footprint.insertion_bias(h.filter("feature_id % 3 = 0"), h, complete=False), "bias")
+    return r6(footprint.insertion_bias(h.filter("at % 10 = 0"), h, complete=False), "bias")
 
 
-@query(f"WITH {t.SEQ}, z AS (SELECT doc_id, substr(q, 1, 206) AS q FROM seq WHERE length(q) >= 206), hx AS (SELECT i - 1 AS o, substr(q, CAST(i AS BIGINT), 6) AS h FROM (SELECT q, unnest(range(1, 202)) AS i FROM z)), e AS (SELECT o, sum((ascii(substr(h, 1, 1)) % 7 + 1) * 0.1) AS e FROM hx GROUP BY o), f AS (SELECT avg(e) AS f FROM e WHERE o < 50 OR o >= 150) SELECT o AS offset, round(e / f, 6) AS expected FROM e, f")
+@query(f"WITH {t.SEQ}, z AS (SELECT substr(q, CAST(k * 206 + 1 AS BIGINT), 206) AS q FROM (SELECT q, unnest(range(0, (length(q) + 205) // 206)) AS k FROM seq)), hx AS (SELECT i - 1 AS o, substr(q, CAST(i AS BIGINT), 6) AS h FROM (SELECT q, unnest(range(1, greatest(length(q) - 4, 1))) AS i FROM z)), e AS (SELECT o, sum((ascii(substr(h, 1, 1)) % 7 + 1) * 0.1) AS e FROM hx GROUP BY o), f AS (SELECT avg(e) AS f FROM e WHERE o < 50 OR o >= 150) SELECT o AS offset, round(e / f, 6) AS expected FROM e, f")
 def expected_insertions(s, d):
-    q = t.sequences(s, d).filter(F.length("sequence") >= 206).withColumn("sequence", F.substring("sequence", 1, 206))
+    # all consecutive regions of 206 letters of every whole sequence; the last one may be shorter
+    at = F.sequence(F.lit(0), F.ceil(F.length("sequence") / 206).cast("int") - 1)
+    q = t.sequences(s, d).filter(F.length("sequence") > 0).select(F.col("sequence").alias("_q"), F.explode(at).alias("_k")).select(F.substring("_q", F.col("_k") * 206 + 1, F.lit(206)).alias("sequence"))
     six = ["".join(x) for x in itertools.product("ACGT", repeat=6)]
     bias = s.createDataFrame([(x, (ord(x[0]) % 7 + 1) * 0.1) for x in six], "hexamer string, bias double")
     return r6(footprint.expected_insertions(q, bias), "expected")
@@ -839,7 +848,7 @@ def signal_track(s, d):
 
 @query("SELECT p_partkey AS feature_id, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS rank FROM part")
 def average_ranks(s, d):
-    return t.parts(s, d).select("feature_id", average_rank(F.col("p_size")).alias("rank"))
+    return with_ranks(t.parts(s, d).select("feature_id", "p_size"), F.col("p_size"), rank="rank").select("feature_id", "rank")
 
 
 @query("SELECT * FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
@@ -848,3 +857,171 @@ def top_per_group(s, d):
     return t.table(s, d, "orders").withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("o_orderkey", "o_custkey", "rank")
 
 
+
+
+# ---- assay and motif slots, further scans, plots ----
+
+
+def parts_assay(s, d):
+    c = t.counts(s, d).withColumn("feature_id", F.col("feature_id").cast("string"))
+    f = t.parts(s, d).select(F.col("feature_id").cast("string").alias("feature_id"), F.lit("p").alias("chrom"), (F.col("feature_id") * 10 + 1).alias("start"), (F.col("feature_id") * 10 + 5).alias("end"))
+    return assay.create_assay(c, f)
+
+
+@query(f"WITH {t.MAT} SELECT CAST(f AS VARCHAR) AS feature_id, c AS cell_id, v AS value FROM m WHERE f IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND c IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)")
+def subset_assay(s, d):
+    a = parts_assay(s, d)
+    return a.subset(t.parts(s, d).filter("p_size <= 10").select(F.col("feature_id").cast("string").alias("feature_id")), t.suppliers(s, d).filter("s_nationkey < 12")).counts.select("feature_id", "cell_id", "value")
+
+
+@query(f"WITH {t.MAT}, x AS (SELECT * FROM m WHERE c IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 12)), y AS (SELECT f, sum(v) AS n FROM x GROUP BY f) SELECT CAST(f AS VARCHAR) AS feature_id, n AS count, round(cume_dist() OVER (ORDER BY n), 6) AS percentile FROM (SELECT p_partkey AS f, coalesce(n, 0) AS n FROM part LEFT JOIN y ON f = p_partkey WHERE p_partkey IN (SELECT f FROM m))")
+def subset_feature_stats(s, d):
+    a = parts_assay(s, d).subset(cells=t.suppliers(s, d).filter("s_nationkey < 12"))
+    return r6(a.features.select("feature_id", "count", "percentile"), "percentile")
+
+
+@query(f"WITH {t.MAT} SELECT CAST(f AS VARCHAR) AS feature_id, CASE WHEN s_nationkey < 12 THEN 'n' || c ELSE CAST(c AS VARCHAR) END AS cell_id, v AS value FROM m JOIN supplier ON s_suppkey = c")
+def rename_cells(s, d):
+    a = parts_assay(s, d)
+    text = lambda x: x.withColumn("cell_id", F.col("cell_id").cast("string"))
+    a = assay.replace(a, cells=text(a.cells), counts=text(a.counts))
+    names = t.suppliers(s, d).filter("s_nationkey < 12").select(F.col("cell_id").cast("string").alias("cell_id"), F.concat(F.lit("n"), F.col("cell_id").cast("string")).alias("new_id"))
+    return a.rename_cells(names).counts.select("feature_id", "cell_id", "value")
+
+
+@query(f"WITH {t.MAT}, x AS (SELECT * FROM m WHERE f % 5 > 0 AND c % 7 > 0), u AS (SELECT p_partkey AS f, (SELECT min(s_suppkey) FROM supplier) AS c FROM part WHERE p_partkey NOT IN (SELECT f FROM x) UNION SELECT (SELECT min(p_partkey) FROM part), s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT c FROM x)) SELECT f AS feature_id, c AS cell_id, v AS value FROM x UNION ALL SELECT f, c, 0 FROM u")
+def add_missing(s, d):
+    return assay.add_missing(t.counts(s, d).filter("feature_id % 5 > 0 and cell_id % 7 > 0"), t.parts(s, d), t.suppliers(s, d))
+
+
+_HITS = "hit AS (SELECT DISTINCT l_partkey AS f, 'm' || (l_suppkey % 25) AS k FROM lineitem WHERE l_quantity > 40)"
+
+
+def part_motifs(s, d):
+    hits = t.table(s, d, "lineitem").filter("l_quantity > 40").select(F.col("l_partkey").alias("feature_id"), F.concat(F.lit("m"), (F.col("l_suppkey") % 25).cast("string")).alias("motif_id")).distinct()
+    names = t.table(s, d, "nation").select(F.concat(F.lit("m"), F.col("n_nationkey").cast("string")).alias("motif_id"), F.col("n_name").alias("motif_name"))
+    return motifs.create_motifs(hits, names=names)
+
+
+@query(f"WITH {_HITS} SELECT f AS feature_id, k AS motif_id FROM hit WHERE f IN (SELECT p_partkey FROM part WHERE p_size <= 10) AND k IN ('m1', 'm2', 'm3')")
+def subset_motifs(s, d):
+    keep = s.createDataFrame([("m1",), ("m2",), ("m3",)], "motif_id string")
+    return part_motifs(s, d).subset(t.parts(s, d).filter("p_size <= 10"), keep).data
+
+
+@query(f"WITH {_HITS} SELECT k AS motif_id, n_name AS motif_name FROM (SELECT DISTINCT k FROM hit) LEFT JOIN nation ON 'm' || n_nationkey = k")
+def motif_names(s, d):
+    m = part_motifs(s, d)
+    return m.convert(m.data.select("motif_id").distinct())
+
+
+_PFM = "pf AS (SELECT p_brand AS k, p_size % 6 AS pos, ('ACGT')[CAST(p_partkey % 4 + 1 AS INT)] AS base, count(*) AS n FROM part GROUP BY 1, 2, 3)"
+
+
+def brand_pfm(s, d):
+    base = F.substring(F.lit("ACGT"), (F.col("feature_id") % 4 + 1).cast("int"), F.lit(1))
+    return t.parts(s, d).groupBy(F.col("p_brand").alias("motif_id"), (F.col("p_size") % 6).alias("pos"), base.alias("base")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PFM} SELECT k AS motif_id, pos, base, round(log2((n + 0.2) / (sum(n) OVER (PARTITION BY k, pos) + 0.8) / 0.25), 6) AS score FROM pf")
+def pfm_to_pwm(s, d):
+    return r6(motifs.pfm_to_pwm(brand_pfm(s, d)), "score")
+
+
+@query(f"WITH {_PFM}, q AS (SELECT *, n / sum(n) OVER (PARTITION BY k, pos) AS p FROM pf) SELECT k AS motif_id, pos, base, round(p, 6) AS p, round(p * (2 + sum(p * log2(p)) OVER (PARTITION BY k, pos)), 6) AS height FROM q")
+def motif_plot(s, d):
+    return r6(motifs.information_content(brand_pfm(s, d)), "p", "height")
+
+
+@query(f"WITH {t.FRAG} SELECT event_id AS id, least((row_number() OVER (ORDER BY event_id) - 1) // greatest((SELECT count(*) FROM frag) // 7, 1) + 1, 7) AS chunk FROM frag")
+def chunk_ranges(s, d):
+    return ranges.chunk(closed(t.fragments(s, d)), 7).select("id", F.col("chunk").cast("long").alias("chunk"))
+
+
+@query(f"WITH {t.GENE} SELECT chrom, min(a) - 100 AS start, max(b) + 200 AS \"end\" FROM tx WHERE gene_id = '1' GROUP BY chrom UNION ALL SELECT 'c2', 0, 700")
+def find_region(s, d):
+    got = [ranges.find_region(t.annotation(s, d), x, 100, 200) for x in ("g1", "c2-100-500")]
+    return s.createDataFrame([(c, int(a), int(b)) for c, a, b in got], "chrom string, start long, end long")
+
+
+@query(f"{_TF} SELECT f AS feature_id, c AS cell_id, round(v / cs * (f % 9 + 1), 6) AS value FROM m JOIN cs USING (c)")
+def tfidf_precomputed(s, d):
+    idf = t.parts(s, d).select("feature_id", (F.col("feature_id") % 9 + 1).cast("double").alias("idf"))
+    return r6(normalize.tfidf(t.counts(s, d), method=2, idf=idf), "value")
+
+
+_TSSF = f"WITH {t.FRAG}, cut AS (SELECT chrom, barcode, s AS p FROM frag UNION ALL SELECT chrom, barcode, e FROM frag), st AS (SELECT chrom, s + 1 AS p, CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand FROM frag WHERE value > 150), pl AS (SELECT barcode, CASE WHEN strand = '-' THEN st.p - cut.p ELSE cut.p - st.p END AS pos, count(*) AS n FROM cut JOIN st ON cut.chrom = st.chrom AND cut.p BETWEEN st.p - 1000 AND st.p + 1000 GROUP BY 1, 2)"
+
+
+def start_sites(s, d):
+    return t.fragments(s, d).filter("value > 150").select("chrom", (F.col("start") + 1).alias("start"), F.when(F.col("event_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+
+
+@query(f"{_TSSF} SELECT barcode AS cell_id, pos AS position, n AS value FROM pl")
+def tss_pileup(s, d):
+    return qc.tss_pileup(t.fragments(s, d), start_sites(s, d), bin_size=1 << 11)
+
+
+@query(f"{_TSSF}, x AS (SELECT barcode, sum(CASE WHEN abs(pos) > 900 THEN n ELSE 0 END) / 200 AS f, sum(CASE WHEN abs(pos) <= 500 THEN n ELSE 0 END) AS c FROM pl GROUP BY 1) SELECT barcode AS cell_id, round(coalesce(c / nullif(CASE WHEN f > 0 THEN f ELSE (SELECT avg(f) FROM x) END, 0), 0) / 1001, 6) AS tss_enrichment FROM x")
+def tss_enrichment_full(s, d):
+    return r6(qc.tss_enrichment_full(qc.tss_pileup(t.fragments(s, d), start_sites(s, d), bin_size=1 << 11)), "tss_enrichment")
+
+
+@query(f"{_TSSF} SELECT grp, pos AS position, round(sum(n) / any_value(k), 6) AS mean FROM pl JOIN (SELECT DISTINCT barcode, grp FROM frag) USING (barcode) JOIN (SELECT grp, count(DISTINCT barcode) AS k FROM frag GROUP BY 1) USING (grp) GROUP BY 1, 2")
+def tss_plot(s, d):
+    return r6(tracks.tss_plot(qc.tss_pileup(t.fragments(s, d), start_sites(s, d), bin_size=1 << 11), user_groups(s, d)), "mean")
+
+
+@query(f"{ORACLE['region_matrix'].rsplit('SELECT grp, id AS region_id', 1)[0]}, rm AS (SELECT grp, id, p, count(*) AS v FROM x GROUP BY 1, 2, 3) SELECT grp, (p - 1) // 100 AS bin, round(sum(v) / any_value(n) / (SELECT count(DISTINCT id) FROM rm), 6) AS mean FROM rm JOIN (SELECT grp, count(DISTINCT barcode) AS n FROM frag GROUP BY grp) USING (grp) WHERE p <= 2000 GROUP BY 1, 2")
+def region_plot(s, d):
+    n = user_groups(s, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n_cells"))
+    return r6(tracks.region_plot(region_matrix(s, d), n, 100, 2001), "mean")
+
+
+@query(f"SELECT grp, position, round(norm - position / 100.0, 6) AS norm FROM ({ORACLE['footprint_data'].replace('round(CASE WHEN f <> 0 THEN m / f END, 6)', 'CASE WHEN f <> 0 THEN m / f END')})")
+def footprint_plot(s, d):
+    p = fixed_pile(s, d).withColumn("position", F.col("position") + 100)
+    expected = s.range(201).select(F.col("id").alias("offset"), ((F.col("id") + 1) / 100.0).alias("expected"))
+    return r6(tracks.footprint_plot(footprint.footprint_data(p, user_groups(s, d), 201, expected)), "norm").select("grp", "position", "norm")
+
+
+@query(ORACLE["footprint_data"].replace("s + 1 - 100 AS a, s + 1 + 100 AS b", "s - 99 AS a, s + 101 AS b"))
+def run_footprint(s, d):
+    sites = t.fragments(s, d).filter("value > 150").select(F.col("event_id").alias("region_id"), "chrom", (F.col("start") + 1).alias("start"), (F.col("start") + 1).alias("end"), F.when(F.col("event_id") % 2 == 0, "+").otherwise("-").alias("strand"))
+    return r6(footprint.run_footprint(t.fragments(s, d), sites, user_groups(s, d), upstream=100, downstream=100, bin_size=t.PEAK_BIN), "norm")
+
+
+@query(f"{P} SELECT name AS region_id, peak.chrom, s AS start, e AS \"end\", barcode, reads AS read_count, e - s AS length, CAST(grp AS VARCHAR) AS ident FROM frag JOIN peak ON frag.chrom = peak.chrom AND s < peak.b AND e >= peak.a")
+def multi_region_scan(s, d):
+    f = t.fragments(s, d).select("chrom", "start", "end", "barcode", "read_count")
+    idents = user_groups(s, d).select("barcode", F.col("grp").cast("string").alias("ident"))
+    return files.regions_rows(f, t.peaks(s, d).select(F.col("feature_id").alias("region_id"), "chrom", "start", "end"), idents, bin_size=t.PEAK_BIN)
+
+
+@query(f"SELECT c.*, n.signal AS nucleosome_signal, x.tss_enrichment FROM ({ORACLE['count_fragments']}) c JOIN ({ORACLE['nucleosome_signal']}) n USING (barcode) JOIN ({ORACLE['tss_enrichment']}) x ON x.cell_id = c.barcode")
+def cell_quality(s, d):
+    return r6(qc.cell_quality(t.fragments(s, d), sites(s, d), bin_size=1 << 11), "nucleosome_signal", "tss_enrichment").drop("tss_percentile", "nucleosome_percentile")
+
+
+@query(f"WITH {t.MAT} SELECT 'p-' || (f * 10 + 1) || '-' || (f * 10 + 10) AS feature_id, (CASE WHEN c % 2 = 0 THEN '1_' ELSE '2_' END) || (c // 2) AS cell_id, sum(v) AS value FROM m WHERE f IN (SELECT f FROM m GROUP BY f HAVING count(DISTINCT c % 2) = 2) GROUP BY 1, 2")
+def merge_identical(s, d):
+    """Tiles that adjoin, the same ones in both assays: they are bound, not reduced to one range."""
+    c = t.counts(s, d)
+    both = c.groupBy("feature_id").agg(F.countDistinct(F.col("cell_id") % 2).alias("n")).filter("n = 2").select("feature_id")
+    a = []
+    for i in (0, 1):
+        own = c.join(both, "feature_id", "left_semi").filter(F.col("cell_id") % 2 == i).groupBy(F.col("feature_id").cast("string").alias("feature_id"), F.floor(F.col("cell_id") / 2).cast("string").alias("cell_id")).agg(F.sum("value").alias("value"))
+        where = t.parts(s, d).select(F.col("feature_id").cast("string").alias("feature_id"), F.lit("p").alias("chrom"), (F.col("feature_id") * 10 + 1).alias("start"), (F.col("feature_id") * 10 + 10).alias("end"))
+        a.append(assay.create_assay(own, where))
+    return assay.merge(a).counts.select("feature_id", "cell_id", "value")
+
+
+@query(f"WITH {t.MAT} SELECT 'p-' || (f * 10 + 1) || '-' || (f * 10 + 10) AS feature_id, (CASE WHEN f % 2 = 0 THEN '1_' ELSE '2_' END) || c AS cell_id, v AS value FROM m")
+def merge_disjoint(s, d):
+    """Tiles that adjoin, each in one assay: disjoint, so bound as they are."""
+    a = []
+    for i in (0, 1):
+        own = t.counts(s, d).filter(F.col("feature_id") % 2 == i).select(F.col("feature_id").cast("string").alias("feature_id"), F.col("cell_id").cast("string").alias("cell_id"), "value")
+        where = t.parts(s, d).select(F.col("feature_id").cast("string").alias("feature_id"), F.lit("p").alias("chrom"), (F.col("feature_id") * 10 + 1).alias("start"), (F.col("feature_id") * 10 + 10).alias("end"))
+        a.append(assay.create_assay(own, where))
+    return assay.merge(a).counts.select("feature_id", "cell_id", "value")

@@ -103,6 +103,18 @@ def region_rows(fragments: DataFrame, chrom: str, start: int, end: int) -> DataF
     return fragments.filter((F.col("chrom") == chrom) & (F.col("start") < end) & (F.col("end") >= start)).withColumn("length", F.col("end") - F.col("start"))
 
 
+def regions_rows(fragments: DataFrame, regions: DataFrame, idents: DataFrame | None = None, bin_size: int | None = None) -> DataFrame:
+    """Fragments that overlap each of many closed regions (region_id, chrom, start, end), with the region and,
+    from idents (barcode, ident), the cell's group; barcodes without one are left out then."""
+    from regionspark.operators import ranges
+
+    spans = fragments.withColumns({"_s": F.col("start"), "_e": F.col("end")}).withColumn("start", F.col("_s") + 1)
+    keep = [c for c in fragments.columns if c not in ("chrom", "start", "end")]
+    hits = ranges.find_overlaps(spans, regions.select("region_id", "chrom", "start", "end"), bin_size=bin_size or ranges.BIN)
+    out = hits.select(F.col("s_region_id").alias("region_id"), F.col("q_chrom").alias("chrom"), F.col("q__s").alias("start"), F.col("q__e").alias("end"), *(F.col(f"q_{c}").alias(c) for c in keep)).withColumn("length", F.col("end") - F.col("start"))
+    return out if idents is None else out.join(idents.select("barcode", "ident"), "barcode")
+
+
 def filter_cells(fragments: DataFrame, cells: DataFrame) -> DataFrame:
     return fragments.join(cells.select("barcode"), "barcode", "left_semi").select(*fragments.columns)
 
