@@ -14,7 +14,9 @@ token). Jobs:
    by looking their pairs up in the mapped arrays, in sorted order.
 
 Tasks exchange packed, sorted, compressed arrays, not a row for each n-gram. Arrays are files of the
-shared folder; what the model holds grows with the corpus.
+shared folder; what the model holds grows with the corpus. Counts have no upper bound (eight bytes where
+four are too few); ids are of 32 bits, and more words than that are an error. From a store that can't be
+mapped, each task reads the arrays instead.
 
 Probabilities. p(w | v) = (c(vw) - D(c(vw))) / c(v) + g(v) p(w), with g(v) the discounts taken from v's
 pairs; p(w) is the same over continuation counts (how many different words w follows), down to 1 / (V + 1).
@@ -134,12 +136,22 @@ def _done(bucket, counts):
     return (bucket, len(counts), int(counts.sum()), *(int((counts == i).sum()) for i in (1, 2, 3, 4)))
 
 
+def _count_bytes(counts: np.ndarray) -> bytes:
+    """Counts of four bytes where all fit, else of eight; a reader tells by the size of the file."""
+    return counts.astype("<u4" if counts.max(initial=0) < 2**32 else "<u8").tobytes()
+
+
+def _open_counts(uri: str, n: int) -> np.ndarray:
+    raw = open_array(uri, "u1")
+    return raw.view("<u8" if len(raw) == 8 * n else "<u4") if n else np.empty(0, "<u4")
+
+
 def _store(folder: str, name: str):
     def run(batches):
         for bucket, parts in _by_bucket(batches):
             keys, counts = merge([_unpack(*p) for p in parts[0]])
             write_bytes(f"{folder}/{name}-{bucket:05d}.key", keys.astype("<u8").tobytes())
-            write_bytes(f"{folder}/{name}-{bucket:05d}.n", counts.astype("<u4").tobytes())
+            write_bytes(f"{folder}/{name}-{bucket:05d}.n", _count_bytes(counts))
             yield _batch(_DONE, [_done(bucket, counts)])
 
     return run
@@ -205,7 +217,7 @@ def _store_pairs(folder: str, n: int, ids: int):
             keys, counts = merge([_unpack(*p) for p in parts[0]])
             del parts
             write_bytes(f"{folder}/pairs-{bucket:05d}.key", keys.astype("<u8").tobytes())
-            write_bytes(f"{folder}/pairs-{bucket:05d}.n", counts.astype("<u4").tobytes())
+            write_bytes(f"{folder}/pairs-{bucket:05d}.n", _count_bytes(counts))
             before, after = keys >> U64(32), keys & U64(0xFFFFFFFF)
             rows = [(bucket % n, 0, b"", np.array(_done(bucket, counts), "<i8").tobytes())]
             for kind, ok in ((1, counts == 1), (2, counts == 2), (3, counts > 2), (4, None), (5, None)):
@@ -237,7 +249,7 @@ def _store_sums(folder: str, n: int, ids: int):
                 for p in got:
                     u, c = _unpack(*p)
                     sums[kind, u.astype(np.int64) - bucket * per] += c
-            write_bytes(f"{folder}/sums-{bucket:05d}", sums[1:].astype("<u4").T.copy().tobytes())
+            write_bytes(f"{folder}/sums-{bucket:05d}", _count_bytes(sums[1:].T.copy()))
             ends = sums[4][sums[4] > 0]
             yield _batch(_DONE, [_done(bucket, ends)])
 
@@ -264,11 +276,12 @@ class Model:
         self.s = spec
         f = spec["folder"]
         self.words = _Words(f, spec["words"])
-        self.counts = [open_array(f"{f}/words-{b:05d}.n", "<u4") for b, _ in spec["words"]]
+        self.counts = [_open_counts(f"{f}/words-{b:05d}.n", n) for b, n in spec["words"]]
         self.first = np.cumsum([0, *(n for _, n in spec["words"])])
-        self.pairs = {b: (open_array(f"{f}/pairs-{b:05d}.key", "<u8"), open_array(f"{f}/pairs-{b:05d}.n", "<u4")) for b in spec["pairs"]}
-        self.sums = {b: open_array(f"{f}/sums-{b:05d}", "<u4").reshape(-1, 5) for b in spec["sums"]}
+        keys = {b: open_array(f"{f}/pairs-{b:05d}.key", "<u8") for b in spec["pairs"]}
+        self.pairs = {b: (k, _open_counts(f"{f}/pairs-{b:05d}.n", len(k))) for b, k in keys.items()}
         self.per = -(-spec["ids"] // spec["n_sums"]) or 1
+        self.sums = {b: _open_counts(f"{f}/sums-{b:05d}", 5 * min(self.per, spec["ids"] - b * self.per)).reshape(-1, 5) for b in spec["sums"]}
 
     def word_counts(self, ids: np.ndarray) -> np.ndarray:
         """Training counts of sorted ids, 0 for unknown ones."""

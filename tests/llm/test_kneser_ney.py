@@ -68,3 +68,22 @@ def test_packed_arrays():
         for c in (rng.integers(1, 9, len(k)), rng.integers(1, 10**12, len(k))):
             a, b = m._unpack(*m._pack(k, c))
             assert (a == k).all() and (b == c).all()
+
+
+def test_counts_beyond_32_bits(tmp_path):
+    import numpy as np
+
+    from regionspark.llm import kneser_ney as m
+
+    big = 2**33
+    part = m._pack(np.array([5, 9], np.uint64), np.array([big, 3]))
+    batch = m._batch(m._BLOB, [(0, 0, *part), (0, 0, *part)])
+    done = next(m._store(f"file://{tmp_path}", "words")([batch])).to_pylist()[0]
+    assert (done["n"], done["total"]) == (2, 2 * big + 6)
+    assert m._open_counts(f"file://{tmp_path}/words-00000.n", 2).tolist() == [2 * big, 6]
+    pair = m._pack(np.array([1 << 32 | 2, 2 << 32 | 1], np.uint64), np.array([big, 1]))
+    rows = list(m._store_pairs(f"file://{tmp_path}", 1, 4)([m._batch(m._BLOB, [(0, 0, *pair)])]))
+    list(m._store_sums(f"file://{tmp_path}", 1, 4)(rows))
+    sums = m._open_counts(f"file://{tmp_path}/sums-00000", 20).reshape(-1, 5)
+    assert sums[1].tolist() == [0, 0, 1, 1, big] and sums[2].tolist() == [1, 0, 0, 1, 1]
+    assert m._open_counts(f"file://{tmp_path}/pairs-00000.n", 2).tolist() == [big, 1]
