@@ -71,20 +71,21 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
+_BLANK, _RUN, _KEY = r"[\x20\x09-\x0D]+", r"[\x20\x09-\x0D]{2}", r"AKIA[A-Z0-9]{16}"
+
+
 def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from regionspark.llm.token_rollups import TokenRollups
 
     rollups = TokenRollups(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    labels = _table(spark, sf_dir, "labels")
     rollups.commit("load", docs)
-    # texts labelled poor are revised to single spaces, those labelled toxic are taken back
-    poor = labels.filter("quality = 0").select("doc_id").distinct()
-    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
-    revised = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    # texts with runs of white space are revised to single spaces, those that hold an access key are taken
+    # back; both are told by the text, so that no text is shuffled
+    revised = docs.filter(F.col("text").rlike(_RUN)).withColumn("text", F.regexp_replace("text", _BLANK, " "))
     rollups.commit("revise", revised.withColumn("op", F.lit("revise")), op="op")
     for _ in range(2):  # delivered again: nothing changes
-        rollups.commit("take-back", docs.join(toxic, "doc_id", "left_semi").withColumn("op", F.lit("delete")), op="op")
+        rollups.commit("take-back", docs.filter(F.col("text").rlike(_KEY)).withColumn("op", F.lit("delete")), op="op")
     return rollups.totals()
 
 
@@ -104,8 +105,8 @@ _PIECES = r"[A-Za-z]+|[0-9]|[^\x00-\x7F]+|[!-/:-@\[-`{-~]"
 ORACLE: dict[str, str] = {
     "op2_token_rollups": rf"""
         WITH kept AS (
-            SELECT source, lang, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g') ELSE text END AS text
-            FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+            SELECT source, lang, CASE WHEN regexp_matches(text, '{_RUN}') THEN regexp_replace(text, '{_BLANK}', ' ', 'g') ELSE text END AS text
+            FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '{_KEY}'))
         )
         SELECT source, lang, v.tokenizer_version, count(*) AS n_docs, CAST(sum(v.n_tokens) AS BIGINT) AS n_tokens
         FROM (
