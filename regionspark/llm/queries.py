@@ -71,7 +71,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
 
-_BLANK, _RUN, _KEY = r"[\x20\x09-\x0D]+", r"[\x20\x09-\x0D]{2}", r"AKIA[A-Z0-9]{16}"
+_BLANK, _RUN, _KEY = r"[\x20\x09-\x0D]+", r"\n", r"AKIA[A-Z0-9]+|[0-9a-f]{24}|(password|secret|token|api_key)[^a-z]"
 
 
 def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def op2_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollups = TokenRollups(spark)
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     rollups.commit("load", docs)
-    # texts with runs of white space are revised to single spaces, those that hold an access key are taken
+    # texts of several lines are revised to one line, those that look like holding a secret are taken
     # back; both are told by the text, so that no text is shuffled
     revised = docs.filter(F.col("text").rlike(_RUN)).withColumn("text", F.regexp_replace("text", _BLANK, " "))
     rollups.commit("revise", revised.withColumn("op", F.lit("revise")), op="op")
