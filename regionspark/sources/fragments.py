@@ -35,9 +35,22 @@ def validate_columns(spark: SparkSession, path: str) -> int:
 
 
 def _hashes(spark: SparkSession, path: str) -> str:
-    """MD5 of a file, in parts: read by Spark so that any store will do."""
-    rows = spark.read.format("binaryFile").load(path).select("path", F.md5("content").alias("m")).orderBy("path").collect()
-    return hashlib.md5("".join(r.m for r in rows).encode()).hexdigest() if len(rows) != 1 else rows[0].m
+    """MD5 of a file of any size, streamed from whatever store holds it; of a folder or pattern, the MD5 of
+    its files' MD5s in order of name."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for s in fs.globStatus(at) or [] for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s]) if f.isFile()]
+    if not found:
+        raise FileNotFoundError(path)
+    sums = []
+    for f in sorted((f.getPath() for f in found), key=lambda p: p.toString()):
+        stream = fs.open(f)
+        try:
+            sums.append(jvm.org.apache.commons.codec.digest.DigestUtils.md5Hex(stream))
+        finally:
+            stream.close()
+    return sums[0] if len(sums) == 1 else hashlib.md5("".join(sums).encode()).hexdigest()
 
 
 @dataclass(frozen=True)

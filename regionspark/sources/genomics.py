@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NARROW = "chrom string, start long, end long, name string, score double, strand string, fold_change double, neg_log10_pvalue double, neg_log10_qvalue double, relative_summit long"
@@ -40,13 +40,35 @@ def tss_positions(annotation: DataFrame, biotypes: list[str] | None = ("protein_
 
 def read_fasta(spark: SparkSession, path: str, block: int = 1 << 16, overlap: int = 5) -> DataFrame:
     """Genome in fixed blocks (chrom, block, seq), 0-based; a block also has the next one's first bases.
-    One contig is one record of the file: its text must fit a task."""
-    whole = spark.read.text(path, lineSep=">").filter("value <> ''")
-    head = F.regexp_extract("value", r"^(\S+)", 1)
-    seq = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n", ""), r"\s", "")
-    rows = whole.select(head.alias("chrom"), seq.alias("s"))
-    at = F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("s"), F.lit(1)) - 1) / block).cast("int")))
-    return rows.select("chrom", "s", at.alias("block")).select("chrom", F.col("block").cast("long").alias("block"), F.substring(F.col("s"), (F.col("block") * block + 1).cast("int"), F.lit(block + overlap)).alias("seq"))
+    Read by lines, so that a contig is dealt over the file's splits: lines count their bases within a
+    split, and one row for each split carries contig and position on. One line must fit a task; text
+    before the first ``>`` is dropped, a contig without bases has one empty block, and contig names are
+    unique within a file."""
+    source = ["_file", "_split"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value")
+    head = F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1))
+    lines = lines.select(*source, "_at", head.alias("_head"), F.when(head.isNull(), F.regexp_replace("value", r"\s", "")).otherwise("").alias("_bases")).withColumn("_n", F.length("_bases").cast("long"))
+    so_far = Window.partitionBy(*source).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumns({"_name": F.last("_head", ignorenulls=True).over(so_far), "_sum": F.sum("_n").over(so_far)})
+    lines = lines.withColumn("_from", F.last(F.when(F.col("_head").isNotNull(), F.col("_sum")), ignorenulls=True).over(so_far))
+    lines = lines.withColumn("_end", F.col("_sum") - F.coalesce("_from", F.lit(0)))
+
+    splits = lines.groupBy(*source).agg(F.max_by(F.struct("_name", "_end"), "_at").alias("_last")).select(*source, "_last.*")
+    earlier = Window.partitionBy("_file").orderBy("_split")
+    upto = earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    splits = splits.withColumn("_total", F.sum("_end").over(upto))
+    start = F.last(F.when(F.col("_name").isNotNull(), F.col("_total") - F.col("_end")), ignorenulls=True).over(upto)
+    splits = splits.withColumns({"_open": F.last("_name", ignorenulls=True).over(upto), "_length": F.col("_total") - F.coalesce(start, F.lit(0))})
+    splits = splits.select(*source, F.lag("_open").over(earlier).alias("_open"), F.lag("_length").over(earlier).alias("_length"))
+
+    at = F.col("_end") - F.col("_n") + F.when(F.col("_name").isNull(), F.coalesce("_length", F.lit(0))).otherwise(0)
+    placed = lines.filter("_n > 0 or _head is not null").join(splits, source).select("_file", F.coalesce("_name", "_open").alias("chrom"), at.alias("_at"), "_n", "_bases").filter("chrom is not null")
+    lo = lambda b: F.greatest(F.col("_at"), b * block)
+    piece = lambda b: F.substring(F.col("_bases"), (lo(b) - F.col("_at") + 1).cast("int"), (F.least(F.col("_at") + F.col("_n"), (b + 1) * block + overlap) - lo(b)).cast("int"))
+    first, last = F.greatest(F.floor((F.col("_at") - overlap) / block), F.lit(0)), F.floor((F.col("_at") + F.greatest(F.col("_n"), F.lit(1)) - 1) / block)
+    pieces = placed.select("_file", "chrom", "_at", F.explode(F.transform(F.sequence(first, last), lambda b: F.struct(b.alias("block"), piece(b).alias("p")))).alias("_x")).select("_file", "chrom", F.col("_x.block").alias("block"), "_at", "_x.p")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_at", "p"))), lambda x: x["p"]), "")
+    return pieces.groupBy("_file", "chrom", "block").agg(joined.alias("seq")).select("chrom", "block", "seq")
 
 
 def region_sequences(genome: DataFrame, regions: DataFrame, block: int = 1 << 16) -> DataFrame:

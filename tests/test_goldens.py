@@ -1,5 +1,8 @@
 """Hand-sized fixtures with expected values that were worked out without Spark (FIXTURES.md 2 and 3)."""
 
+import hashlib
+import random
+
 import pytest
 
 from regionspark.operators import assay, linalg, motifs, normalize, qc, quantify, ranges, stats
@@ -201,3 +204,42 @@ def test_fragment_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.barcode: r.frequency_count for r in spark.table("running_counts_test").collect()} == {"A": 4, "B": 2, "C": 2}
+
+
+def test_fasta_over_splits(spark, tmp_path):
+    """Contigs that run over many splits of the file, of one line and of many, with and without bases."""
+    rng = random.Random(9)
+    text, want = "", {}
+    for name, size, width in (("chr1", 3001, 60), ("chr2", 0, 60), ("chr3", 997, 2000), ("chr4", 64, 8), ("chr5", 1, 7)):
+        seq = "".join(rng.choice("ACGTN") for _ in range(size))
+        text += f">{name} some words\n" + "".join(seq[i : i + width] + "\n" for i in range(0, size, width)) + "\n"
+        want |= {(name, b): seq[b * 16 : (b + 1) * 16 + 5] for b in range(max(1, -(-size // 16)))}
+    (tmp_path / "a.fa").write_text("lost\n" + text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = genomics.read_fasta(spark, str(tmp_path / "a.fa"), block=16)
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == len(want) and {(r.chrom, r.block): r.seq for r in rows} == want
+    (tmp_path / "none.fa").write_text("")
+    assert genomics.read_fasta(spark, str(tmp_path / "none.fa")).collect() == []
+
+
+def test_file_hashes(spark, tmp_path):
+    (tmp_path / "one.tsv").write_bytes(b"chr1\t1\t2\ta\t1\n")
+    one = hashlib.md5(b"chr1\t1\t2\ta\t1\n").hexdigest()
+    assert files._hashes(spark, str(tmp_path / "one.tsv")) == one
+    (tmp_path / "two.tsv").write_bytes(b"")
+    assert files._hashes(spark, str(tmp_path)) == hashlib.md5((one + hashlib.md5(b"").hexdigest()).encode()).hexdigest()
+    with pytest.raises(FileNotFoundError):
+        files._hashes(spark, str(tmp_path / "three.tsv"))
+
+
+def test_cosine_in_blocks(spark):
+    rows = [(i, [float(i % 5 + 1), float(i % 3), 1.0]) for i in range(40)] + [(7, [1.0, 1.0, 1.0]), (50, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    key = lambda d: sorted((r.query_id, r.vec_id, -1.0 if r.cosine is None else round(r.cosine, 9)) for r in d.collect())
+    whole = key(linalg.cosine(v, v))
+    assert len(whole) == len(rows) ** 2 and key(linalg.cosine(v, v, most=4)) == whole
