@@ -23,7 +23,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document goes if one of a smaller doc_id is a near copy: Jaccard 0.8 or more of five-word shingles."""
+    """A document goes if one of a smaller doc_id is a near copy: Jaccard 0.8 or more of five-word shingles,
+    by SimHash and Golay codes first, then by bands for what these leave."""
     return near_copies.keep_one(docs)
 
 

@@ -7,11 +7,13 @@ speculative task replaces a file by an identical one.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, NullType, ShortType
@@ -105,3 +107,17 @@ def skew_join(big: DataFrame, small: DataFrame, on: str, rows: str, how: str = "
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def trimmed(run):
+    """``run`` over a task's batches; what it freed then goes back to the system, as a Python worker lives on
+    for later tasks and stages."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return whole

@@ -1,11 +1,17 @@
 """Near copies by word shingles: five words, Jaccard similarity of 0.8 or more, verified.
 
 A text's shingles are its runs of five words (bytes lowered as in ``simhash``), kept as the set of
-their 32-bit hashes. Texts of one set are one node. Candidates share a band of min-hashes: 24 bands of
-five, so that a pair of similarity 0.8 is found with probability 0.9999 and a more similar one surer.
-The similarity of each candidate pair is then computed from the two whole sets.
+their 32-bit hashes. Texts of one set are one node. Candidates come from two steps, and the similarity
+of each candidate pair is then computed from the two whole sets. A node goes if one of a smaller doc_id
+is similar to it.
 
-A node goes if one of a smaller doc_id is similar to it. Bands of up to ``_SMALL`` nodes are compared
+First, SimHash by Golay-code fuzzy hashing (``simhash``, all its steps): fingerprints of the five-word
+shingles, repeats included, classes of those at most four bits apart, and each node of a class is
+compared with the class's first.
+
+At a similarity of 0.8 fingerprints seldom come so near. So what shares a band of min-hashes is compared
+as well: 24 bands of five, so that a pair of similarity 0.8 is found with
+probability 0.9999 and a more similar one surer. Bands of up to ``_SMALL`` nodes are compared
 whole. In a larger one the nodes, ranked by doc_id, are dealt out in blocks, and each block gets the
 band's centres - the first ones, in rounds of ever more - to compare its nodes with. What has gone is not
 compared again. A pair is passed on by the first band that it shares, and only if it can be similar: the
@@ -24,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle, shuffle_parts, skew_join, whole_id
-from regionspark.llm._words import LOWER, U64, mix, slices, spaced, text_bytes, word_bounds, xxh64
-from regionspark.llm.simhash import keep_rows, text_hash
+from regionspark.llm._shared import settle, shuffle_parts, skew_join, trimmed, whole_id
+from regionspark.llm._words import U64, mix, slices
+from regionspark.llm.simhash import classes, keep_rows, majority, shingle_hashes, text_hash
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,17 +48,14 @@ _LAST = 2**63 - 1
 
 def shingle_sets(column, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(32-bit shingle hashes of all texts, sorted and distinct by text, offsets of each text)."""
-    buf, off = text_bytes(column)
-    starts, ends, n = word_bounds(buf, off)
-    buf, starts, ends = spaced(LOWER[buf], starts, ends)
-    first = np.cumsum(n) - n
-    count = np.where(n > 0, np.maximum(n - shingle + 1, 1), 0)
-    to = np.concatenate([[0], np.cumsum(count)])
-    a = np.repeat(first - to[:-1], count) + np.arange(to[-1])
-    z = np.minimum(a + shingle, np.repeat(first + n, count)) - 1
-    h = xxh64(buf, starts[a], ends[z]) >> U64(32)
-    both = np.unique(np.repeat(np.arange(len(n)), count).astype(U64) << U64(32) | h)
-    return both.astype(np.uint32), np.searchsorted(both >> U64(32), np.arange(len(n) + 1).astype(U64))
+    return distinct_hashes(*shingle_hashes(column, shingle))
+
+
+def distinct_hashes(h: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper 32 bits of the hashes, sorted and distinct by text, and the offsets of each text."""
+    n = len(to) - 1
+    both = np.unique(np.repeat(np.arange(n), np.diff(to)).astype(U64) << U64(32) | h >> U64(32))
+    return both.astype(np.uint32), np.searchsorted(both >> U64(32), np.arange(n + 1).astype(U64))
 
 
 def band_keys(values: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -78,11 +81,13 @@ def band_keys(values: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _sets(batches):
     for b in slices(batches):
-        values, off = shingle_sets(b["text"])
+        h, to = shingle_hashes(b["text"], SHINGLE)
+        values, off = distinct_hashes(h, to)
+        fp = majority(h, to).view(np.int64)
         keys = band_keys(values, off)
         own = [values[off[i] : off[i + 1]].tobytes() for i in range(b.num_rows)]
         node = np.array([xxhash.xxh64_intdigest(x) for x in own], U64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(node), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(own, pa.binary())], ["doc_id", "h", "node", "keys", "own"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(node), pa.array(fp), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array(own, pa.binary())], ["doc_id", "h", "node", "fp", "keys", "own"])
 
 
 def _emit(n_buckets: int):
@@ -106,7 +111,7 @@ def _emit(n_buckets: int):
 def small_bands(packed: np.ndarray, low: int = 2, small: int = _SMALL):
     """From rows (key, doc_id, node): pairs (u, v) of nodes of the bands of ``low`` to ``small`` nodes, u
     before v, and the rows (key, node) of larger bands."""
-    packed = packed[np.lexsort((packed[:, 2], packed[:, 1].view(np.int64), packed[:, 0]))]
+    packed = packed[np.lexsort((packed[:, 2].view(np.int64), packed[:, 1].view(np.int64), packed[:, 0]))]
     first = np.flatnonzero(np.concatenate([[True], packed[1:, 0] != packed[:-1, 0]]))
     size = np.diff(np.append(first, len(packed)))
     node = packed[:, 2].view(np.int64)
@@ -211,13 +216,14 @@ def _compare(batches):
 def _similar(batches):
     for b in batches:
         out = []
-        for node, x, y in zip(b["v"].to_pylist(), b["a"].to_pylist(), b["b"].to_pylist(), strict=True):
-            n, m = len(x) // 4, len(y) // 4
+        for node, x, y in zip(b["v"], b["a"], b["b"], strict=True):
+            x, y = (np.frombuffer(s.as_buffer(), np.uint32) for s in (x, y))
+            n, m = len(x), len(y)
             if min(n, m) < SIMILARITY * max(n, m):
                 continue
-            common = len(np.intersect1d(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32), assume_unique=True))
+            common = len(np.intersect1d(x, y, assume_unique=True))
             if common >= SIMILARITY * (n + m - common):
-                out.append(node)
+                out.append(node.as_py())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["node"])
 
 
@@ -225,21 +231,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     """(node, doc_id, h of each node's first row; nodes that go)."""
     spark = docs.sparkSession
     named = docs.select(whole_id(docs, key).alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
-    sets = named.mapInArrow(_sets, "doc_id long, h long, node long, keys binary, own binary")
+    sets = named.mapInArrow(trimmed(_sets), "doc_id long, h long, node long, fp long, keys binary, own binary")
     # rows of one node have one set, so any of them gives it; copies are put together before the shuffle
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")).alias("x")
-    keyed = settle(sets.groupBy("node").agg(least, F.first("keys").alias("keys"), F.first("own").alias("own")).select("node", "x.doc_id", "x.h", F.coalesce("x.doc_id", F.lit(_LAST)).alias("least"), "keys", "own"), "shingle-keys")
+    keyed = settle(sets.groupBy("node").agg(least, F.collect_set("fp").alias("fps"), F.first("keys").alias("keys"), F.first("own").alias("own")).select("node", "x.doc_id", "x.h", F.coalesce("x.doc_id", F.lit(_LAST)).alias("least"), "fps", "keys", "own"), "shingle-keys")
     nodes = keyed.select("node", "doc_id", "h")
     # 24 keys of 24 bytes each: buckets of about 32 MB
     buckets = max(shuffle_parts(spark), nodes.count() * BANDS * 24 // (32 << 20) + 1)
-    dealt = keyed.select("node", "least", "keys").mapInArrow(_emit(buckets), "bucket int, packed binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
-    met = settle(dealt.mapInArrow(_pairs, "kind int, u long, v long"), "shingle-bands")
-    gone = settle(_verified(met.filter("kind = 0").select("u", "v").distinct(), keyed), "shingle-gone")
+    dealt = keyed.select("node", "least", "keys").mapInArrow(trimmed(_emit(buckets)), "bucket int, packed binary").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
+    met = settle(dealt.mapInArrow(trimmed(_pairs), "kind int, u long, v long"), "shingle-bands")
+    # the sets of both steps' pairs are fetched once
+    pairs = settle(class_pairs(keyed).unionByName(met.filter("kind = 0").select("u", "v")).distinct(), "shingle-pairs")
+    gone = settle(_verified(pairs, keyed), "shingle-gone")
     large = met.filter("kind = 1").select(F.col("u").alias("key"), F.col("v").alias("node"))
     if large.isEmpty():
         return nodes, gone
     among = keyed.join(large.select("node").distinct(), "node", "left_semi")
-    signatures = settle(among.select("node", "own", "keys").mapInArrow(_signatures, "node long, size long, bins binary, marks binary").join(among.select("node", "least"), "node"), "shingle-signatures")
+    signatures = settle(among.select("node", "own", "keys").mapInArrow(trimmed(_signatures), "node long, size long, bins binary, marks binary").join(among.select("node", "least"), "node"), "shingle-signatures")
     in_order = Window.partitionBy("key").orderBy("least", "node")
     ranked = large.join(signatures.select("node", "least"), "node").select("key", "node", F.row_number().over(in_order).cast("long").alias("rank"))
     ranked = settle(ranked, "shingle-ranks")
@@ -251,7 +259,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
         centres = ranked.filter((F.col("rank") > low) & (F.col("rank") <= high)).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("member", F.lit(0))
         members = ranked.filter(F.col("rank") > low + 1).join(gone, "node", "left_anti").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("member", F.lit(1))
         both = centres.unionByName(members).select("key", "node", "rank", F.col("block").cast("long").alias("block"), "member").join(signatures.drop("least"), "node")
-        pairs = both.repartition("key", "block").sortWithinPartitions("key", "block", "member").mapInArrow(_compare, "u long, v long")
+        pairs = both.repartition("key", "block").sortWithinPartitions("key", "block", "member").mapInArrow(trimmed(_compare), "u long, v long")
         pairs = settle(pairs.distinct(), "shingle-pairs")
         gone = settle(gone.unionByName(_verified(pairs, keyed)).distinct(), "shingle-gone")
         if ranked.filter(F.col("rank") > high + 1).join(gone, "node", "left_anti").isEmpty():
@@ -259,12 +267,20 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
         low, high = high, high + min(16 * high, _CENTRES)
 
 
+def class_pairs(keyed: DataFrame) -> DataFrame:
+    """Pairs (u, v): the first node of each class of fingerprints with the class's other nodes."""
+    fp = settle(keyed.select(F.struct("least", "node").alias("who"), F.explode("fps").alias("fp")), "shingle-fingerprints")
+    return classes(fp, "who").select(F.col("first.node").alias("u"), F.col("who.node").alias("v")).filter("u <> v")
+
+
 def _verified(pairs: DataFrame, keyed: DataFrame) -> DataFrame:
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(_SALTS)))
-    sets = keyed.select("node", "own")
+    # only the sets of nodes in a pair are moved
+    met = settle(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "shingle-met")
+    sets = keyed.select("node", "own").join(met, "node", "left_semi")
     # a node that many are compared with is dealt out with its set
     left = salted.select("u", "salt").distinct().join(sets.toDF("u", "a"), "u")
-    return salted.join(left, ["u", "salt"]).join(sets.toDF("v", "b"), "v").select("v", "a", "b").mapInArrow(_similar, "node long").distinct()
+    return salted.join(left, ["u", "salt"]).join(sets.toDF("v", "b"), "v").select("v", "a", "b").mapInArrow(trimmed(_similar), "node long").distinct()
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

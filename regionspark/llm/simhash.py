@@ -44,8 +44,8 @@ _GENERATOR = 0xC75
 _CHUNK = 1 << 16
 
 
-def fingerprints(column, shingle: int = SHINGLE) -> np.ndarray:
-    """The 64-bit fingerprint of each text of an Arrow column."""
+def shingle_hashes(column, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(XXH64 of the word shingles of all texts of an Arrow column, offsets of each text)."""
     buf, off = text_bytes(column)
     starts, ends, n = word_bounds(buf, off)
     buf, starts, ends = spaced(LOWER[buf], starts, ends)
@@ -54,10 +54,20 @@ def fingerprints(column, shingle: int = SHINGLE) -> np.ndarray:
     to = np.concatenate([[0], np.cumsum(shingles)])
     a = np.repeat(first - to[:-1], shingles) + np.arange(to[-1])
     z = np.minimum(a + shingle, np.repeat(first + n, shingles)) - 1
-    h = xxh64(buf, starts[a], ends[z])
-    out = np.zeros(len(n), U64)
+    return xxh64(buf, starts[a], ends[z]), to
+
+
+def fingerprints(column, shingle: int = SHINGLE) -> np.ndarray:
+    """The 64-bit fingerprint of each text of an Arrow column."""
+    return majority(*shingle_hashes(column, shingle))
+
+
+def majority(h: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of each text's hashes."""
+    shingles = np.diff(to)
+    out = np.zeros(len(shingles), U64)
     doc = 0
-    while doc < len(n):
+    while doc < len(shingles):
         upto = max(doc + 1, int(np.searchsorted(to, to[doc] + _CHUNK, "right")) - 1)
         counts = np.zeros((upto - doc, 64), np.int64)
         if upto - doc == 1:
@@ -249,12 +259,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     classes may have the same smallest one."""
     named = docs.select(whole_id(docs, key).alias("doc_id"), text_hash(F.col(text)).alias("h"), F.col(text).cast("string").alias("text"))
     fp = settle(named.mapInArrow(_fingerprint_batches("text", shingle), "doc_id long, h long, fp long"), "fingerprints")
-    per = settle(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprint-classes")
+    return classes(fp, "doc_id", max_bits).select("doc_id", "h", "fp", "root", F.col("first").alias("component_id"))
+
+
+def classes(fp: DataFrame, of: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows of ``fp`` (settled) with the root of their fingerprint's class and the first, which is the
+    smallest value of column ``of`` in the class."""
+    per = settle(fp.groupBy("fp").agg(F.min(of).alias("least"), F.count(F.lit(1)).alias("rows")), "fingerprint-classes")
     roots = components(fingerprint_links(per, max_bits))
     joined = settle(per.join(roots, per.fp == roots.node, "left").select("fp", "least", "rows", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
-    whole = settle(joined.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "fingerprint-components")
-    of = settle(skew_join(joined, whole, "root", "members").select("fp", "root", "component_id", "rows"), "fingerprint-class")
-    return skew_join(fp, of, "fp", "rows").select("doc_id", "h", "fp", "root", "component_id")
+    whole = settle(joined.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("members")), "fingerprint-components")
+    by_fp = settle(skew_join(joined, whole, "root", "members").select("fp", "root", "first", "rows"), "fingerprint-class")
+    return skew_join(fp, by_fp, "fp", "rows").drop("rows")
 
 
 def text_hash(text: Column) -> Column:

@@ -92,3 +92,43 @@ def test_large_group_of_many_edits(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted(r.doc_id for r in m.keep_one(df).collect())
     assert got == want(rows) and 20 < len(got) < 280
+
+
+def test_fingerprints_find_what_shares_no_band(spark):
+    """A passage ten times over and two endings: similarity 0.8, no band in common, at most four bits apart."""
+    import numpy as np
+    import pyarrow as pa
+
+    from regionspark.llm.simhash import fingerprints
+
+    rows = []
+    for i in (14843, 17159, 18017, 47925):
+        passage = [f"w{i}x{k}" for k in range(40)] * 10
+        rows += [(2 * i + n, " ".join(passage + [f"{end}{i}x{k}" for k in range(5)])) for n, end in enumerate("ab")]
+    text = pa.array([x for _, x in rows])
+    keys, fp = m.band_keys(*m.shingle_sets(text)), fingerprints(text, m.SHINGLE)
+    assert not (keys[::2] == keys[1::2]).any() and (np.bitwise_count(fp[::2] ^ fp[1::2]) <= 4).all()
+    assert all(similar(a, b) for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == want(rows) == [i for i, _ in rows[::2]]
+
+
+def test_near_fingerprints_alone_take_nothing(spark):
+    """One passage many times over, with endings that outweigh it as sets: near fingerprints, below 0.8."""
+    from regionspark.llm.simhash import near_duplicates
+
+    passage = [f"p{k}" for k in range(20)] * 40
+    rows = [(i, " ".join(passage + [f"e{i}x{k}" for k in range(12)])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_duplicates(df, shingle=m.SHINGLE).select("root").distinct().count() < 10
+    assert sorted(r.doc_id for r in m.keep_one(df).collect()) == want(rows) == list(range(40))
+
+
+def test_similar_rows_of_one_id_keep_one(spark):
+    """Both steps and both kinds of band order rows that share an id alike, so one of two stays."""
+    rows = []
+    for i in range(16):
+        t = [f"w{i}x{k}" for k in range(60)] * 3
+        rows += [(i, " ".join([*t, "a"])), (i, " ".join([*t, "b"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in m.keep_one(df).collect()) == list(range(16))
