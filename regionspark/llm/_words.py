@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 
 U64 = np.uint64
+_TAKE = 1 << 18
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -94,7 +95,18 @@ def take_ranges(src: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     ends = np.cumsum(sizes)
     if not len(ends) or not ends[-1]:
         return src[:0]
-    return src[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1])]
+    out = np.empty(int(ends[-1]), src.dtype)
+    shift = starts - (ends - sizes)
+    at = done = 0
+    while at < len(ends):  # so many at a time, as each item's place takes eight bytes, twice
+        z = max(at + 1, int(np.searchsorted(ends, done + _TAKE, "right")))
+        to = int(ends[z - 1])
+        if z == at + 1:
+            out[done:to] = src[starts[at] : starts[at] + (to - done)]
+        else:
+            out[done:to] = src[np.repeat(shift[at:z], sizes[at:z]) + np.arange(done, to)]
+        at, done = z, to
+    return out
 
 
 def same_ranges(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, sizes: np.ndarray) -> np.ndarray:

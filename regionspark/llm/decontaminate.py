@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, open_array, whole_id, write_bytes
+from regionspark.llm._shared import new_dir, open_array, trimmed, whole_id, write_bytes
 from regionspark.llm._words import U64, mix, slices, text_bytes, word_bounds, word_hashes
 
 ERROR_RATE = 0.2
@@ -278,9 +278,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
 
     def run(batches):
         index = _open(uris)
-        for b in slices(batches, text, 8 << 20):
+        for b in slices(batches, text):
             keep = np.ones(b.num_rows, bool)
             keep[index.matches(*plain_words(b[text]))[0]] = False
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

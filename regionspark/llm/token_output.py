@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import new_dir, open_array, read_bytes, settle, shuffle_parts, write_bytes, whole_id
+from regionspark.llm._shared import new_dir, open_array, read_bytes, settle, shuffle_parts, trimmed, write_bytes, whole_id
 from regionspark.llm._words import distinct_words, same_ranges, slices, take_ranges, text_bytes, word_bounds
 
 END_ID = 1
 SHARD_BYTES = 64 << 20
+_PIECE = 2 << 20
 _HEAD = "<4sIQQQ"
 #: Data bytes of each of the four ids of a control byte.
 LENGTHS = np.array([[(b >> (2 * i) & 3) + 1 for i in range(4)] for b in range(256)], np.uint8)
@@ -109,23 +110,45 @@ def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out) if out else np.zeros(0, np.uint32), sizes
 
 
+def words_of(column) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of texts: hashes, sorted, sizes, counts, and bytes end to end."""
+    buf, off = text_bytes(column)
+    starts, ends, _ = word_bounds(buf, off)
+    h, first, count, _ = distinct_words(buf, starts, ends)
+    starts, sizes = starts[first], (ends - starts)[first]
+    return h, sizes, count, take_ranges(buf, starts, sizes)
+
+
+def merge_words(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Several tables of distinct words, as ``words_of`` gives them, as one; counts are added."""
+    h, sizes, count, words = (np.concatenate(x) for x in zip(*parts, strict=True))
+    sizes = sizes.astype(np.int64)
+    at = np.cumsum(sizes) - sizes
+    keys, first, _, back = distinct_words(words, at, at + sizes, h)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, back, count)
+    return keys, sizes[first], total, take_ranges(words, at[first], sizes[first])
+
+
 def _distinct_words(n: int, text: str):
-    """Per slice of texts and hash range: its distinct words, their hashes and counts."""
+    """Per slice of texts and hash range: its distinct words, their hashes and counts. A slice goes by
+    small pieces, put together by hash range, as arrays of all its words take many times the text's size."""
+    edges = (np.arange(n + 1) * (2**64 / n)).clip(0, 2**64 - 2048).astype(np.uint64)
 
     def run(batches):
         for b in slices(batches, text, 16 << 20):
-            buf, off = text_bytes(b[text])
-            starts, ends, _ = word_bounds(buf, off)
-            h, first, count, _ = distinct_words(buf, starts, ends)
-            starts, ends = starts[first], ends[first]
-            cuts = np.searchsorted(h, (np.arange(n + 1) * (2**64 / n)).clip(0, 2**64 - 2048).astype(np.uint64))
-            cuts[-1] = len(h)
+            pieces = []
+            for piece in slices([b], text, _PIECE):
+                own = words_of(piece[text])
+                cuts = np.searchsorted(own[0], edges)
+                cuts[-1] = len(own[0])
+                pieces.append((own, cuts, np.concatenate([[0], np.cumsum(own[1])])[cuts]))
             rows = []
             for k in range(n):
-                a, z = cuts[k], cuts[k + 1]
-                if a < z:
-                    words = take_ranges(buf, starts[a:z], ends[a:z] - starts[a:z]).tobytes()
-                    rows.append((k, h[a:z].tobytes(), (ends[a:z] - starts[a:z]).astype("<u4").tobytes(), count[a:z].astype("<i8").tobytes(), words))
+                parts = [[*(x[c[k] : c[k + 1]] for x in own[:3]), own[3][to[k] : to[k + 1]]] for own, c, to in pieces if c[k] < c[k + 1]]
+                if parts:
+                    h, sizes, count, words = merge_words(parts)
+                    rows.append((k, h.tobytes(), sizes.astype("<u4").tobytes(), count.astype("<i8").tobytes(), words.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "h", "n", "c", "words"])
 
@@ -136,25 +159,19 @@ def _encode_table(folder: str, tokenizer_path: str):
     """One bucket's word table; yields the counts of its ids."""
 
     def finish(bucket, parts, tokenizer):
-        h = np.concatenate([np.frombuffer(p[0], np.uint64) for p in parts])
-        n = np.concatenate([np.frombuffer(p[1], "<u4") for p in parts]).astype(np.int64)
-        c = np.concatenate([np.frombuffer(p[2], "<i8") for p in parts])
-        words = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
-        at = np.cumsum(n) - n
-        keys, first, _, back = distinct_words(words, at, at + n, h)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, back, c)
+        keys, n, total, words = merge_words([[np.frombuffer(x, t) for x, t in zip(p, (np.uint64, "<u4", "<i8", np.uint8), strict=True)] for p in parts])
+        to = np.cumsum(n)
         ids, sizes = [], []
-        for a in range(0, len(keys), 100_000):
-            rows = first[a : a + 100_000]
-            got = encode_words(tokenizer, [words[s : s + k].tobytes().decode() for s, k in zip(at[rows], n[rows], strict=True)])
+        for a in range(0, len(keys), 20_000):
+            rows = slice(a, a + 20_000)
+            got = encode_words(tokenizer, [words[z - k : z].tobytes().decode() for z, k in zip(to[rows].tolist(), n[rows].tolist(), strict=True)])
             ids.append(got[0])
             sizes.append(got[1])
         ids, sizes = np.concatenate(ids), np.concatenate(sizes)
         name = f"{folder}/words-{bucket:05d}"
         write_bytes(f"{name}.hash", keys.tobytes())
-        write_bytes(f"{name}.to", np.cumsum(n[first]).astype("<i8").tobytes())
-        write_bytes(f"{name}.words", take_ranges(words, at[first], n[first]).tobytes())
+        write_bytes(f"{name}.to", to.astype("<i8").tobytes())
+        write_bytes(f"{name}.words", words.tobytes())
         write_bytes(f"{name}.end", np.cumsum(sizes).astype("<i8").tobytes())
         write_bytes(f"{name}.ids", ids.astype("<u4").tobytes())
         used, back = np.unique(ids, return_inverse=True)
@@ -225,37 +242,42 @@ class _Table:
         return (np.concatenate(ranks), np.concatenate(counts)) if ranks else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
+def _coded(b: pa.RecordBatch, table: _Table, bounds: np.ndarray, key: str, text: str, end_id: int) -> pa.RecordBatch:
+    """One slice of documents, coded."""
+    buf, off = text_bytes(b[text])
+    starts, ends, n_words = word_bounds(buf, off)
+    keys, first, _, back = distinct_words(buf, starts, ends)
+    ranks, sizes = table.ranks_of(keys, buf, starts[first], (ends - starts)[first])
+    codes, data = code_ranks(ranks)
+    ids_at = np.cumsum(sizes) - sizes
+    bytes_to = np.concatenate([[0], np.cumsum(codes.astype(np.int64) + 1)])
+    data_at, data_n = bytes_to[ids_at], bytes_to[ids_at + sizes] - bytes_to[ids_at]
+    end_codes, end_data = code_ranks(table.rank[[end_id]])
+    word_to = np.concatenate([[0], np.cumsum(n_words)])
+    out = []
+    doc = 0
+    while doc < b.num_rows:  # so many words at a time that the arrays stay small
+        to = max(doc + 1, int(np.searchsorted(word_to, word_to[doc] + 500_000, "right")) - 1)
+        w = back[word_to[doc] : word_to[to]]
+        c, d = take_ranges(codes, ids_at[w], sizes[w]), take_ranges(data, data_at[w], data_n[w])
+        c_to = np.concatenate([[0], np.cumsum(sizes[w])])[word_to[doc : to + 1] - word_to[doc]]
+        d_to = np.concatenate([[0], np.cumsum(data_n[w])])[word_to[doc : to + 1] - word_to[doc]]
+        for i in range(to - doc):
+            own = np.concatenate([c[c_to[i] : c_to[i + 1]], end_codes])
+            out.append((len(own), pack_codes(own).tobytes(), d[d_to[i] : d_to[i + 1]].tobytes() + end_data.tobytes()))
+        doc = to
+    ids = b[key].cast(pa.int64())
+    shard = np.searchsorted(bounds, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+    n, control, data_ = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data_, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
+
+
 def _encode_docs(folder: str, buckets: list[int], bounds: list[int], key: str, text: str, end_id: int):
     def run(batches):
         table = None
-        for b in slices(batches, text, 8 << 20):
+        for b in slices(batches, text):
             table = table or _Table(folder, buckets)
-            buf, off = text_bytes(b[text])
-            starts, ends, n_words = word_bounds(buf, off)
-            keys, first, _, back = distinct_words(buf, starts, ends)
-            ranks, sizes = table.ranks_of(keys, buf, starts[first], (ends - starts)[first])
-            codes, data = code_ranks(ranks)
-            ids_at = np.cumsum(sizes) - sizes
-            bytes_to = np.concatenate([[0], np.cumsum(codes.astype(np.int64) + 1)])
-            data_at, data_n = bytes_to[ids_at], bytes_to[ids_at + sizes] - bytes_to[ids_at]
-            end_codes, end_data = code_ranks(table.rank[[end_id]])
-            word_to = np.concatenate([[0], np.cumsum(n_words)])
-            out = []
-            doc = 0
-            while doc < b.num_rows:  # so many words at a time that the arrays stay small
-                to = max(doc + 1, int(np.searchsorted(word_to, word_to[doc] + 500_000, "right")) - 1)
-                w = back[word_to[doc] : word_to[to]]
-                c, d = take_ranges(codes, ids_at[w], sizes[w]), take_ranges(data, data_at[w], data_n[w])
-                c_to = np.concatenate([[0], np.cumsum(sizes[w])])[word_to[doc : to + 1] - word_to[doc]]
-                d_to = np.concatenate([[0], np.cumsum(data_n[w])])[word_to[doc : to + 1] - word_to[doc]]
-                for i in range(to - doc):
-                    own = np.concatenate([c[c_to[i] : c_to[i + 1]], end_codes])
-                    out.append((len(own), pack_codes(own).tobytes(), d[d_to[i] : d_to[i + 1]].tobytes() + end_data.tobytes()))
-                doc = to
-            ids = b[key].cast(pa.int64())
-            shard = np.searchsorted(np.array(bounds, np.int64), ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
-            n, control, data_ = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), ids, pa.array(n, pa.int64()), pa.array(control, pa.binary()), pa.array(data_, pa.binary())], ["shard", "doc_id", "n_tokens", "control", "data"])
+            yield _coded(b, table, np.array(bounds, np.int64), key, text, end_id)
 
     return run
 
@@ -341,9 +363,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     docs = docs.select(whole_id(docs, key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = shuffle_parts(spark)
     made = (
-        docs.select("text").mapInArrow(_distinct_words(parts, "text"), "bucket int, h binary, n binary, c binary, words binary")
+        docs.select("text").mapInArrow(trimmed(_distinct_words(parts, "text")), "bucket int, h binary, n binary, c binary, words binary")
         .repartitionById(parts, F.col("bucket")).sortWithinPartitions("bucket")
-        .mapInArrow(_encode_table(folder, tokenizer_path), "bucket int, n_words long, ids binary, counts binary")
+        .mapInArrow(trimmed(_encode_table(folder, tokenizer_path)), "bucket int, n_words long, ids binary, counts binary")
     )
     made = settle(made, "token-words")
     buckets = [r.bucket for r in made.select("bucket").collect()]
@@ -361,9 +383,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     cuts = docs.select(F.percentile_approx("doc_id", [i / n_shards for i in range(1, n_shards)] or [0.5], 10 * n_shards).alias("q")).first().q or []
     bounds = sorted(set(cuts))
     rows = (
-        docs.mapInArrow(_encode_docs(folder, buckets, bounds, "doc_id", "text", end_id), "shard int, doc_id long, n_tokens long, control binary, data binary")
+        docs.mapInArrow(trimmed(_encode_docs(folder, buckets, bounds, "doc_id", "text", end_id)), "shard int, doc_id long, n_tokens long, control binary, data binary")
         .repartitionById(n_shards, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "control", "data")
-        .mapInArrow(_write_shards(folder), "shard int, n_docs long, n_tokens long, n_null long").collect()
+        .mapInArrow(trimmed(_write_shards(folder)), "shard int, n_docs long, n_tokens long, n_null long").collect()
     )  # a row for each shard
     start, manifest = 0, []
     for r in sorted(rows, key=lambda r: r.shard):
@@ -377,7 +399,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     """Read token files back: doc_id, start, n_tokens, ids_crc32 of each document."""
     n = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return manifest.repartition(n).mapInArrow(_read_back(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(n).mapInArrow(trimmed(_read_back(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_output(docs: DataFrame, tokenizer_path: str, **how) -> DataFrame:

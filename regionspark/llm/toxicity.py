@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regionspark.llm._shared import settle, whole_id
+from regionspark.llm._shared import settle, trimmed, whole_id
 from regionspark.llm._words import U64, mix, slices, text_bytes, word_bounds, word_hashes
 
 MAX_LABELLED = 20_000
@@ -339,4 +339,4 @@ def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: flo
         for b in slices(batches, text):
             yield b.filter(pa.array(_curve(text_features(b[text], sent.value), sent.value.curve) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -1,7 +1,10 @@
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -81,3 +84,67 @@ def test_words_of_one_hash_keep_their_ids(spark, monkeypatch):
     s, e, _ = w.word_bounds(raw, np.array([0, len(raw)]))
     h, first, count, back = w.distinct_words(raw, s, e)
     assert [words[first[i]] for i in back] == words and sorted(count.tolist()) == [1, 1, 1, 2, 2] and (np.diff(h.astype(float)) >= 0).all()
+
+
+def counted(batches):
+    got = {}
+    for b in batches:
+        for h, n, c, words in zip(*(b[x].to_pylist() for x in ("h", "n", "c", "words")), strict=True):
+            n, at = np.frombuffer(n, "<u4"), 0
+            assert (np.diff(np.frombuffer(h, np.uint64).astype(float)) >= 0).all()
+            for size, count in zip(n.tolist(), np.frombuffer(c, "<i8").tolist(), strict=True):
+                word = words[at : at + size]
+                at += size
+                assert word not in got  # once, as all texts are one slice
+                got[word] = count
+            assert at == len(words)
+    return got
+
+
+@pytest.mark.parametrize("one_hash", [False, True])
+def test_pieces_are_put_together(monkeypatch, one_hash):
+    from regionspark.llm import _words as w
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" * (1 + i % 7) for i in rng.zipf(1.5, 60) % 300) for _ in range(50)] + ["", None, "v" * 500, "é ü é"]
+    monkeypatch.setattr(m, "_PIECE", 900, raising=False)
+    monkeypatch.setattr(w, "_TAKE", 64, raising=False)
+    if one_hash:
+        monkeypatch.setattr(w, "xxh64", lambda buf, s, e, seed=42: np.full(len(s), 5, np.uint64))
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    assert counted(m._distinct_words(5, "text")([batch])) == Counter(x for t in texts for x in (t or "").encode().split())
+
+
+def test_ranges_are_taken_a_part_at_a_time(monkeypatch):
+    from regionspark.llm import _words as w
+
+    rng = np.random.default_rng(4)
+    src = rng.integers(0, 256, 1000).astype(np.uint8)
+    starts, sizes = rng.integers(0, 900, 200), rng.choice([0, 0, 1, 5, 99], 200)
+    want = np.concatenate([src[s : s + n] for s, n in zip(starts, sizes, strict=True)])
+    for most in (1, 7, 100, 1 << 18):
+        monkeypatch.setattr(w, "_TAKE", most, raising=False)
+        assert (w.take_ranges(src, starts, sizes) == want).all() and len(w.take_ranges(src, starts[:0], sizes[:0])) == 0
+
+
+def test_workers_stay_small(tmp_path):
+    rng = np.random.default_rng(5)
+    voc = ["".join(rng.choice(list("abdegiklmnorstu"), n)) for n in rng.integers(2, 11, 60_000)]
+    texts = [" ".join(voc[i] for i in rng.integers(0, len(voc), 600)) for _ in range(4_000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    size = sum(map(len, texts))
+    assert 14 << 20 < size < 24 << 20
+
+    def peak(gen):
+        tracemalloc.start()
+        for _ in gen:
+            pass
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most / size
+
+    folder = str(tmp_path)
+    list(m._encode_table(folder, PATH)(m._distinct_words(1, "text")([batch])))
+    m.write_bytes(f"{folder}/ranks", np.arange(60_000, dtype="<u4").tobytes())
+    words, coded = peak(m._distinct_words(32, "text")([batch])), peak(m._encode_docs(folder, [0], [], "doc_id", "text", 1)([batch]))
+    assert words < 6 and coded < 6, (words, coded)
