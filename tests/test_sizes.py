@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from regionspark.operators import footprint, qc, ranges
+from regionspark.operators import assay, footprint, mito, qc, quantify, ranges
 
 N = 40  # copies of each place
 
@@ -72,3 +72,38 @@ def test_region_matrix_joins_a_place_once(copies, pairs):
         assert len(got) == 2 * N * 2 * 4 and {r.region_id for r in got} == set(range(2 * N))
         assert {r.value for r in got} == ({1} if dedup else {N // 2})
     assert pairs() <= 2 * 2 * 2 * 2
+
+
+def test_gene_activity_shuffles_no_pairs(spark, pairs):
+    f = spark.range(300).selectExpr("if(id % 3 = 0, 'c', 'd') AS chrom", "id * 7 AS start", "id * 7 + 20 + id % 11 AS end", "if(id < 100, 'hot', if(id = 299, null, cast(id % 9 AS string))) AS barcode")
+    genes = spark.range(60).selectExpr("if(id % 2 = 0, 'c', 'd') AS chrom", "id * 30 AS start", "id * 30 + 900 AS end", "if(id % 3 = 0, '-', '+') AS strand", "concat('g', id) AS gene_name", "cast(id AS string) AS gene_id", "'protein_coding' AS gene_biotype", "cast(id AS string) AS tx_id")
+    got = {(r.gene_name, r.cell_id): r.value for r in quantify.gene_activity(f, genes).collect()}
+    assert pairs() == 0
+    spans = ranges.extend(quantify.gene_spans(genes), 2000, 0).withColumnRenamed("gene_name", "feature_id")
+    assert got == {(r.feature_id, r.cell_id): r.value for r in quantify.feature_matrix(f, spans).collect()}
+    twice = spans.withColumn("feature_id", F.expr("if(feature_id < 'g3', 'same', feature_id)"))
+    rows = lambda d: sorted(map(repr, d.select("feature_id", "cell_id", "value").collect()))
+    assert rows(quantify.wide_feature_matrix(f, twice, most=7)) == rows(quantify.feature_matrix(f, twice))
+
+
+def test_intersect_matrix_joins_a_place_once(spark, pairs):
+    features = spark.createDataFrame([("x", "c", 10, 20), ("y", "c", 50, 60)], "feature_id string, chrom string, start long, end long")
+    counts = spark.range(N).selectExpr("'x' AS feature_id", "id AS cell_id", "2L AS value")
+    regions = spark.range(N).selectExpr("'c' AS chrom", "15L AS start", "16L AS end")
+    got = assay.intersect_matrix(counts, features, regions, bin_size=64)
+    assert got.columns == ["feature_id", "cell_id", "value"] and got.count() == N * N
+    assert {r["count"] for r in got.groupBy("cell_id").count().collect()} == {N}
+    assert pairs() == 1
+
+
+@pytest.mark.parametrize("most", [7, 20_000])
+def test_nearest_cells_by_brute_force_with_ties(spark, most):
+    rows = [(i, f"v{j}", float(1 + (i % 6) * j % 5)) for i in range(30) for j in range(8) if (i % 6 + j) % 3]
+    x = spark.createDataFrame(rows, "cell_id long, variant string, v double")
+    of = {}
+    for i, j, v in rows:
+        of.setdefault(i, {})[j] = v
+    size = {i: sum(v * v for v in d.values()) ** 0.5 for i, d in of.items()}
+    sim = lambda a, b: round(sum(v * of[b].get(j, 0) for j, v in of[a].items()) / size[a] / size[b], 12)
+    want = {(a, b) for a in of for _, b in sorted((-sim(a, b), b) for b in of if b != a and sim(a, b) > 0)[:4]}
+    assert {(r.a, r.b) for r in mito.nearest_cells(x, 4, most).collect()} == want
