@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionspark.functions.columns import range_name
-from regionspark.functions.lineage import cut
+from regionspark.functions.lineage import cut, store
 from regionspark.operators import quantify, ranges
 from regionspark.operators.running import with_ranks
 
@@ -161,7 +161,7 @@ def create_assay(counts: DataFrame, features: DataFrame, min_features: int = 0,
     """An assay of the counts that the creation filters leave. check_disjoint: warn of overlapping features."""
     if check_disjoint and not ranges.is_disjoint(features).first()[0]:
         warnings.warn("the features overlap each other", stacklevel=2)
-    rows = create_filters(counts, min_features, min_cells, max_cells)
+    rows = store(create_filters(counts, min_features, min_cells, max_cells))  # read by each slot and by what follows
     cells = cell_stats(rows.select("cell_id").distinct(), rows)
     kept = features.join(rows.select("feature_id").distinct(), "feature_id", "left_semi")
     out = Assay(feature_stats(kept, rows), cells, rows)
@@ -273,6 +273,7 @@ def merge(assays: list[Assay]) -> Assay:
         features = places.select(range_name().alias("feature_id"), *place)
         counts = count.join(feature.select("feature_id", range_name().alias("place")), "feature_id").groupBy(F.col("place").alias("feature_id"), "cell_id").agg(F.sum("value").alias("value"))
     else:
-        features = ranges.reduce(feature).select(range_name().alias("feature_id"), *place)
+        features = ranges.reduce(places).select(range_name().alias("feature_id"), *place)
         counts = quantify.merge_overlapping(count, feature).select(range_name().alias("feature_id"), "cell_id", "value")
+    counts = store(counts)
     return Assay(feature_stats(features, counts), cell_stats(cell, counts), counts, fragments=tuple(f for a in assays for f in a.fragments), cellmaps=tuple(c for a in assays for c in a.cellmaps), annotation=assays[0].annotation, seqinfo=assays[0].seqinfo)
