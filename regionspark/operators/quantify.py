@@ -205,7 +205,9 @@ def frip(counts: DataFrame, totals: DataFrame) -> DataFrame:
 
 def merge_overlapping(counts: DataFrame, features: DataFrame) -> DataFrame:
     """Sum the rows of features that reduce to one range. Columns chrom, start, end, cell_id, value."""
-    joined = ranges._islands(features.select("chrom", "start", "end", "feature_id"), ["chrom"], 1)
+    at = F.struct("chrom", "start", "end").alias("_at")  # features at one place are merged as one
+    joined = ranges._islands(features.select("chrom", "start", "end").distinct(), ["chrom"], 1).select("chrom", "start", "end", "_island", at)
     span = joined.groupBy("chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    of = joined.select("feature_id", "chrom", "_island").join(span, ["chrom", "_island"]).select("feature_id", "chrom", "start", "end")
+    place = joined.select("chrom", "_island", "_at").join(span, ["chrom", "_island"]).select("_at", "chrom", "start", "end")
+    of = features.select("feature_id", at).join(place, "_at").select("feature_id", "chrom", "start", "end")
     return counts.join(of, "feature_id").groupBy("chrom", "start", "end", "cell_id").agg(F.sum("value").alias("value"))
