@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionspark.functions.columns import ratio
-from regionspark.functions.lineage import cut
+from regionspark.functions.lineage import cut, store
 from regionspark.operators.running import with_ranks
 
 
@@ -17,6 +17,7 @@ def tfidf(counts: DataFrame, n_cells: int | None = None, method: int = 1, scale:
     the log of methods 2 and 3; its zeros are an error."""
     if method not in (1, 2, 3, 4):
         raise ValueError("method is 1 to 4")
+    counts = store(counts)  # read three times
     cell = counts.groupBy("cell_id").agg(F.sum("value").alias("_cell"))
     if idf is None:
         cells = F.lit(n_cells).cast("double") if n_cells is not None else None
