@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionspark.functions.columns import ratio
 from regionspark.operators import quantify, ranges
-from regionspark.operators.qc import counted_cuts
+from regionspark.operators.qc import counted_cuts, letters
 
 
 def cut_matrix(fragments: DataFrame, regions: DataFrame, cells: DataFrame | None = None, bin_size: int = ranges.BIN) -> DataFrame:
@@ -86,9 +89,81 @@ def hexamers_at(positions: DataFrame, genome: DataFrame, block: int, up: int = 3
     return p.withColumn("hexamer", six).filter(F.col("hexamer").rlike("^[ACGT]{6}$")).drop("seq", "block")
 
 
+def _hexamer_codes(text) -> np.ndarray:
+    """The hexamer at each place of a string in Arrow as a number below 4,096; -1 where it has other letters."""
+    code = letters(text)
+    if len(code) < 6:
+        return np.empty(0, np.int16)
+    six, odd = np.zeros(len(code) - 5, np.int16), np.zeros(len(code) - 5, bool)
+    for i in range(6):
+        x = code[i : len(code) - 5 + i]
+        six = six * np.int16(4) + (x & 3)
+        odd |= x == 4
+    six[odd] = -1
+    return six
+
+
+_HEXAMERS = ["".join(x) for x in itertools.product("ACGT", repeat=6)]
+
+
+def hexamer_counts(sequences: DataFrame, every: int = 1) -> DataFrame:
+    """(hexamer, n, every): occurrences of hexamers in sequences, those at each ``every``th base apart; a row for
+    each task. Hexamers with other letters than A, C, G and T are dropped."""
+    import pyarrow as pa
+
+    def run(batches):
+        n = np.zeros((2, 4096), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    six = _hexamer_codes(text)
+                    for k, x in enumerate((six, six[::every])):
+                        n[k] += np.bincount(x[x >= 0], minlength=4096)
+        at = np.flatnonzero(n[0])
+        yield pa.RecordBatch.from_arrays([pa.array([_HEXAMERS[i] for i in at], pa.string()), pa.array(n[0, at]), pa.array(n[1, at])], ["hexamer", "n", "every"])
+
+    return sequences.select(F.upper("sequence")).mapInArrow(run, "hexamer string, n long, every long")
+
+
+def hexamers_by_offset(sequences: DataFrame) -> DataFrame:
+    """(offset, hexamer, n): occurrences by place in the sequence, summed over the rows of a batch."""
+    import pyarrow as pa
+
+    names = np.asarray(_HEXAMERS, dtype=object)
+
+    def rows(key):
+        key = np.concatenate(key)
+        if key.max() < 4 * len(key):
+            n = np.bincount(key)
+            key = np.flatnonzero(n)
+            n = n[key]
+        else:
+            key, n = np.unique(key, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array((key >> 12).astype(np.int32)), pa.array(names[key & 4095], pa.string()), pa.array(n.astype(np.int64))], ["offset", "hexamer", "n"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for text in batch.column(0):
+                if text.is_valid:
+                    six = _hexamer_codes(text)
+                    at = np.flatnonzero(six >= 0)
+                    held.append((at << 12) | six[at])
+                    size += len(at)
+                    if size > 1 << 22:
+                        yield rows(held)
+                        held, size = [], 0
+        if size:
+            yield rows(held)
+
+    return sequences.select(F.upper("sequence")).mapInArrow(run, "offset int, hexamer string, n long")
+
+
 def insertion_bias(observed: DataFrame, genomic: DataFrame, complete: bool = True) -> DataFrame:
-    """bias of each hexamer: observed cut sites over genomic occurrences. Both have a column hexamer."""
-    o, g = (d.groupBy("hexamer").agg(F.count(F.lit(1)).alias(n)) for d, n in ((observed, "_o"), (genomic, "_g")))
+    """bias of each hexamer: observed cut sites over genomic occurrences. Both have a column hexamer, and each row
+    counts once or, if there is a column n, so many times."""
+    times = lambda d: F.sum("n") if "n" in d.columns else F.count(F.lit(1))
+    o, g = (d.groupBy("hexamer").agg(times(d).alias(n)) for d, n in ((observed, "_o"), (genomic, "_g")))
     out = g.join(o, "hexamer", "full").select("hexamer", ratio(F.coalesce("_o", F.lit(0)), F.coalesce("_g", F.lit(0))).alias("bias"))
     if complete and out.count() != 4096:
         raise ValueError("not all 4,096 hexamers occur")
@@ -98,9 +173,7 @@ def insertion_bias(observed: DataFrame, genomic: DataFrame, complete: bool = Tru
 def expected_insertions(sequences: DataFrame, bias: DataFrame, flank: int = 50) -> DataFrame:
     """Expected cuts by offset: the bias of the hexamers there, summed over regions (region_id, sequence
     of one width), over the mean of the first ``flank`` and last ``flank + 1`` offsets."""
-    six = F.transform(F.sequence(F.lit(1), F.length("sequence") - 5), lambda i: F.substring(F.upper("sequence"), i, F.lit(6)))
-    rows = sequences.filter(F.length("sequence") >= 6).select(F.posexplode(six).alias("offset", "hexamer"))
-    at = rows.groupBy("offset", "hexamer").agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(bias), "hexamer").groupBy("offset").agg(F.sum(F.col("_n") * F.col("bias")).alias("_e"))  # 4,096 rows
+    at = hexamers_by_offset(sequences).join(F.broadcast(bias), "hexamer").groupBy("offset").agg(F.sum(F.col("n") * F.col("bias")).alias("_e"))  # 4,096 rows
     n = at.agg((F.max("offset") + 1).alias("_w"))
     x = at.crossJoin(F.broadcast(n))  # one row
     mean = x.agg(F.avg(F.when((F.col("offset") < flank) | (F.col("offset") >= F.col("_w") - flank - 1), F.col("_e"))).alias("_m"))

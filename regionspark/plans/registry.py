@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionspark.functions.columns import parse_range, seeded
+from regionspark.functions.lineage import cut
 from regionspark.operators import assay, enrich, footprint, linalg, links, mito, motifs, normalize, qc, quantify, ranges, stats, tracks
 from regionspark.operators.running import with_ranks
 from regionspark.plans import tables as t
@@ -769,15 +770,10 @@ def place_matrix(s, d):
 _HEX = f"{t.SEQ.replace('seq AS', 'WITH seq AS')}, hx AS (SELECT doc_id, i, substr(q, CAST(i AS BIGINT), 6) AS h FROM (SELECT doc_id, q, unnest(range(1, greatest(length(q) - 4, 1))) AS i FROM seq))"
 
 
-def hexamers(s, d):
-    six = F.transform(F.sequence(F.lit(1), F.length("sequence") - 5), lambda i: F.substring("sequence", i, F.lit(6)))
-    return t.sequences(s, d).filter(F.length("sequence") >= 6).select("feature_id", F.posexplode(six).alias("at", "hexamer"))
-
-
 @query(f"{_HEX} SELECT h AS hexamer, round(count(CASE WHEN i % 10 = 1 THEN 1 END) / count(*), 6) AS bias FROM hx GROUP BY h")
 def insertion_bias(s, d):
-    h = hexamers(s, d)
-    return r6(footprint.insertion_bias(h.filter("at % 10 = 0"), h, complete=False), "bias")
+    h = cut(footprint.hexamer_counts(t.sequences(s, d), 10))  # 4,096 rows for each task
+    return r6(footprint.insertion_bias(h.select("hexamer", F.col("every").alias("n")), h, complete=False), "bias")
 
 
 @query(f"WITH {t.SEQ}, z AS (SELECT substr(q, CAST(k * 206 + 1 AS BIGINT), 206) AS q FROM (SELECT q, unnest(range(0, (length(q) + 205) // 206)) AS k FROM seq)), hx AS (SELECT i - 1 AS o, substr(q, CAST(i AS BIGINT), 6) AS h FROM (SELECT q, unnest(range(1, greatest(length(q) - 4, 1))) AS i FROM z)), e AS (SELECT o, sum((ascii(substr(h, 1, 1)) % 7 + 1) * 0.1) AS e FROM hx GROUP BY o), f AS (SELECT avg(e) AS f FROM e WHERE o < 50 OR o >= 150) SELECT o AS offset, round(e / f, 6) AS expected FROM e, f")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from regionspark.operators import assay, footprint, mito, qc, quantify, ranges
+from regionspark.operators import assay, footprint, linalg, mito, normalize, qc, quantify, ranges
 
 N = 40  # copies of each place
 
@@ -107,3 +107,92 @@ def test_nearest_cells_by_brute_force_with_ties(spark, most):
     sim = lambda a, b: round(sum(v * of[b].get(j, 0) for j, v in of[a].items()) / size[a] / size[b], 12)
     want = {(a, b) for a in of for _, b in sorted((-sim(a, b), b) for b in of if b != a and sim(a, b) > 0)[:4]}
     assert {(r.a, r.b) for r in mito.nearest_cells(x, 4, most).collect()} == want
+
+
+@pytest.fixture
+def read(spark):
+    """A table through a counter of the rows that are read of it."""
+    n = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    return lambda df: df.mapInArrow(run, df.schema), n
+
+
+def test_cosine_makes_pairs_in_products_of_matrices(spark):
+    rows = [(i, None if i == 7 else [] if i == 8 else [0.0, 0.0] if i == 9 else [1.0, None] if i == 10 else [1.0] if i == 11 else [float(i), 2.0]) for i in range(12)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = linalg.cosine(v, v.filter("vec_id % 3 < 2"), most=3)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    found = {(r.query_id, r.vec_id): r.cosine for r in got.collect()}
+    assert len(found) == 8 * 12
+    for (a, b), c in found.items():
+        if max(a, b) < 7 or {a, b} == {11}:
+            assert c == pytest.approx(1.0 if a == b else (a * b + 4) / ((a * a + 4) * (b * b + 4)) ** 0.5)
+        else:
+            assert c is None
+
+
+def test_svd_reads_its_matrix_once(spark, read):
+    through, n = read
+    x = spark.range(60).selectExpr("id % 10 AS feature_id", "id % 7 AS cell_id", "cast(1 + id % 4 AS double) AS value").groupBy("feature_id", "cell_id").agg(F.sum("value").alias("value"))
+    size = x.count()
+    linalg.svd(through(x), 2, x.select("feature_id").distinct(), x.select("cell_id").distinct())[0].collect()
+    assert n.value == size
+
+
+def test_variants_read_the_counts_once(spark, read):
+    through, n = read
+    c = spark.range(200).selectExpr("id % 5 AS pos", "substring('ATCG', cast(id % 4 AS int) + 1, 1) AS base", "id % 40 AS cell_id", "id % 3 AS fwd", "id % 2 AS rev").groupBy("pos", "base", "cell_id").agg(F.sum("fwd").alias("fwd"), F.sum("rev").alias("rev"))
+    size = c.count()
+    mito.identify_variants(through(c), spark.range(5).selectExpr("id AS pos", "'A' AS ref"), spark.range(40).withColumnRenamed("id", "cell_id")).collect()
+    assert n.value == size
+
+
+def test_tfidf_reads_the_counts_once(spark, read):
+    through, n = read
+    c = spark.range(50).selectExpr("id % 10 AS feature_id", "id % 7 AS cell_id", "1.0D AS value").distinct()
+    size = c.count()
+    normalize.tfidf(through(c)).collect()
+    assert n.value == size
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_merge_reads_the_counts_for_the_filters_alone(spark, read, apart):
+    through, n = read
+    both, size = [], 0
+    for i in (0, 1):
+        c = spark.range(40).selectExpr("cast(id % 10 AS string) AS feature_id", f"concat('{i}', id % 8) AS cell_id", "1.0D AS value").distinct()
+        f = spark.range(10).selectExpr("cast(id AS string) AS feature_id", "'p' AS chrom", f"id * 10 + {5 * i * apart} AS start", f"id * 10 + 8 + {5 * i * apart} AS end")
+        size += c.count()
+        both.append(assay.create_assay(through(c), f))
+    assert assay.merge(both).counts.agg(F.sum("value")).first()[0] == size
+    assert n.value <= 3 * size
+
+
+def test_region_stats_and_hexamers_of_long_sequences(spark):
+    texts = {"a": "ACGTNacgtAAAA", "b": "", "c": "G", "d": None, "e": "éAAéCGCGCG", "f": "ACGTTGCA" * 3000}
+    s = spark.createDataFrame(list(texts.items()), "feature_id string, sequence string")
+    got = {r.feature_id: r for r in qc.region_stats(s).collect()}
+    plan = qc.region_stats(s)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    for k, q in texts.items():
+        u = None if q is None else q.upper()
+        assert got[k].sequence_length == (None if u is None else len(u))
+        for two in qc.DINUCLEOTIDES:
+            assert got[k][two] == (None if u is None else sum(u[i : i + 2] == two for i in range(len(u))))
+    n = {r.hexamer: (r.n, r.every) for r in footprint.hexamer_counts(s, 10).groupBy("hexamer").agg(F.sum("n").alias("n"), F.sum("every").alias("every")).collect()}
+    want = {}
+    for q in texts.values():
+        u = (q or "").upper()
+        for i in range(len(u) - 5):
+            if set(u[i : i + 6]) <= set("ACGT"):
+                a, b = want.get(u[i : i + 6], (0, 0))
+                want[u[i : i + 6]] = (a + 1, b + (i % 10 == 0))
+    assert n == want
+    at = {(r.offset, r.hexamer): r.n for r in footprint.hexamers_by_offset(s).groupBy("offset", "hexamer").agg(F.sum("n").alias("n")).collect()}
+    assert sum(at.values()) == sum(a for a, _ in want.values())
+    assert at[(0, "ACGTTG")] == 1 and at[(800, "ACGTTG")] == 1
